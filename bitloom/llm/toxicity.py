@@ -138,15 +138,14 @@ def train(features: list[np.ndarray], y: np.ndarray, toxic: int, other: int, set
     return Model(full, bias + float(np.log(max(toxic, 1) / max(other, 1))), settings)
 
 
-def scorer(shared, settings: Settings):
+def scorer(shared, settings: Settings, text: str, kept: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, distinct = shared.value, Distinct(settings.bits)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             z = np.array([model.weights[distinct(grams(t or "", settings))].sum(dtype=np.float64) for t in texts]) + model.intercept
             out = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), out], [*(batch.schema.names[i] for i in rest), "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), out], [*kept, "__score"])
 
     return score
 
@@ -155,6 +154,6 @@ def classify(documents: DataFrame, model: Model, score: str = "score", keep: lis
     """The columns in ``keep`` (default: all) and the score of every document; a column of the score's name is replaced."""
     spark = prepare(documents.sparkSession)
     kept = [c for c in (documents.columns if keep is None else keep) if c != score]
-    rows = documents.select(*kept, F.col("text").alias("__text"))
+    rows = documents.select(*dict.fromkeys([*kept, "text"]))
     schema = documents.select(*kept).withColumn("__score", F.lit(0.0)).schema
-    return rows.mapInArrow(scorer(spark.sparkContext.broadcast(model), model.settings), schema).withColumnRenamed("__score", score)
+    return rows.mapInArrow(scorer(spark.sparkContext.broadcast(model), model.settings, "text", kept), schema).withColumnRenamed("__score", score)

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
 
 #: Chunks that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 700_000
+_PARTS = 50_000
 _SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 _DROPS = [{"type": "NFC"}, _SPACES, {"type": "Lowercase"}]
 #: Fixed value: the pre-split of byte-level tokenizers with use_regex.
@@ -50,35 +52,35 @@ class WordCache:
         usable = kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not kind.get("post_processor")
         self.drops, self.keeps = self.drops and usable, self.keeps and usable
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"] if self.drops else _KEEPS)
+        self.tokenize = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.parts: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.ends = array("I"), array("q", [0])  # ids of all chunks, and where each chunk's end
 
     def _encode(self, chunk: bytes) -> list[int]:
         word = chunk.decode()
         if not _PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if self.drops:
+            word = word.lower()
+        if self.keeps and word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return [t.id for t in self.tokenize(word.replace(" ", "\u0120"))]  # the pre-split leaves it in one part
         out: list[int] = []
-        for part in self.pattern.findall(word.lower() if self.drops else word):
+        for part in self.pattern.findall(word):
             if (ids := self.parts.get(part)) is None:
-                letters = "".join(map(self.letters.__getitem__, part.encode()))
-                ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+                ids = [t.id for t in self.tokenize(part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))]
+                if len(self.parts) < _PARTS:
+                    self.parts[part] = ids
             out += ids
         return out
 
     def _learn(self, chunk: bytes) -> int:
         ids, name = self._encode(chunk), len(self.number)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        if name >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[name], self.lengths[name] = self.used, len(ids)
-        self.used += len(ids)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
         self.number[chunk] = name
         return name
 
@@ -97,14 +99,16 @@ class WordCache:
     def ids(self, text: bytes) -> np.ndarray:
         if (names := self._names(text)) is None:
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-        lengths = self.lengths[names]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[names] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.frombuffer(self.ends, np.int64)
+        starts, lengths = ends[names], ends[names + 1] - ends[names]
+        upto = np.cumsum(lengths)
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1])] if len(upto) else np.zeros(0, np.uint32)
 
     def count(self, text: bytes) -> int:
         if (names := self._names(text)) is None:
             return len(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        return int(self.lengths[names].sum())
+        ends = np.frombuffer(self.ends, np.int64)
+        return int((ends[names + 1] - ends[names]).sum())
 
 
 _OPEN: dict[str, WordCache] = {}
