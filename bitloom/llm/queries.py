@@ -36,9 +36,9 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
@@ -87,11 +87,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(*captures_and_entries(spark, sf_dir))
 
 
-OP6_SQL = """
+OP6_SQL = r"""
 WITH captures AS (
   SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 720 AS INTEGER) AS DATE) AS fetched,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), x -> x <> '') AS steps,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps,
     string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/')[2] AS dir
   FROM pages),
 hosts AS (SELECT host, min(page_id) AS h FROM captures WHERE host IS NOT NULL GROUP BY host),
@@ -100,8 +100,8 @@ entries AS (
   SELECT 'host' AS kind, host AS pattern, 'block' AS action, h * 7 % 500 AS n FROM hosts WHERE h % 3 = 0
   UNION ALL SELECT 'host', host, 'remove', h * 7 % 500 + 120 FROM hosts WHERE h % 2 = 0
   UNION ALL SELECT 'host', host, 'allow', h * 7 % 500 + 150 FROM hosts WHERE h % 5 = 0
-  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]*\\.)?[^.]*$'), 'block', 300 FROM hosts
-  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]*\\.)?[^.]*$'), 'remove', 330 FROM hosts
+  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]*\.)?[^.]*$'), 'block', 300 FROM hosts
+  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]*\.)?[^.]*$'), 'remove', 330 FROM hosts
   UNION ALL SELECT 'prefix', host || '/' || dir, 'allow', h * 11 % 400 FROM dirs WHERE h % 4 = 2),
 daily AS (
   SELECT kind, lower(pattern) AS key, CAST(DATE '2024-01-01' + CAST(n AS INTEGER) AS DATE) AS since,
@@ -121,7 +121,7 @@ met AS (
 best AS (SELECT page_id, count(*) AS n_active, arg_max(entry, rank) AS matched, arg_max(action, rank) AS action FROM met GROUP BY page_id)
 SELECT c.page_id, c.host, c.fetched, coalesce(b.n_active, 0) AS n_active, b.matched, CASE WHEN b.action = 'block' THEN 'block' ELSE 'keep' END AS verdict
 FROM captures c LEFT JOIN best b USING (page_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

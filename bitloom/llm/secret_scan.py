@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .automaton import combined, longest, rule_automata
 from .common import as_bytes, prepare
@@ -148,6 +149,6 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str]
     shape = documents.select(*kept).schema
     if redact:
         shape = shape.add("__redacted", "string")
-    shape = shape.add("secrets", "array<struct<start:long,end:long,kind:string>>")
+    shape = shape.add("secrets", DataType.fromDDL("array<struct<start:long,end:long,kind:string>>"))
     found = documents.select(*kept, F.col("text").alias("__text")).mapInArrow(_scan(rules, redact), shape)
     return found.withColumnRenamed("__redacted", "text") if redact else found
