@@ -9,7 +9,7 @@
    weren't compared. Buckets with few of these per member compare them all; larger ones name further hubs, twice as many each turn.
    This goes on until no such pair is left, so every pair that shares a bucket is either compared or already connected.
 
-Two documents at similarity 0.8 share no band with a probability of (1 - 0.8**5)**32 = 3e-6, and the signature
+Two documents at similarity 0.8 share no band with a probability of (1 - 0.8**7)**56 = 2e-6, and the signature
 test leaves out a true link with about 1e-6 (five standard deviations).
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; with fewer words than a
@@ -32,6 +32,8 @@ from .common import Workspace, as_bytes, binary_of, prepare
 
 _SEED = 20_240_229
 _MEMORY_WORDS = 500_000
+#: Up to so many ids (8 MB) are broadcast to pick the texts to compare; more of them are joined by a shuffle.
+_BROADCAST_IDS = 1_000_000
 #: Pairs that a bucket may compare at once for each member; beyond them it goes on by hubs.
 _PAIRS_PER_MEMBER = 16
 
@@ -40,8 +42,8 @@ _PAIRS_PER_MEMBER = 16
 class Settings:
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
+    bands: int = 56
+    rows: int = 7
 
     @property
     def hashes(self) -> int:
@@ -211,7 +213,11 @@ class Compared:
         side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("sign").alias(f"{c}_sign"))
         sized = new.join(side("hub"), "hub").join(side("node"), "node").filter(100 * F.least("hub_n", "node_n") >= self.settings.percent * F.greatest("hub_n", "node_n"))
         alike = work.save(sized.select("hub", "node", "hub_sign", "node_sign").mapInArrow(_alike(self.settings), "hub long, node long").distinct(), f"{tag}-alike")
-        asked = alike.select(F.explode(F.array("hub", "node")).alias("doc_id")).distinct()
+        if alike.isEmpty():
+            return 0
+        asked = work.save(alike.select(F.col("hub").alias("doc_id")).distinct().unionByName(alike.select(F.col("node").alias("doc_id")).distinct()).distinct(), f"{tag}-asked")
+        if asked.count() <= _BROADCAST_IDS:
+            asked = F.broadcast(asked)  # else whole texts would be shuffled for the few that are asked for
         texts = self.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
         sets = work.save(texts.mapInArrow(_sets(self.settings), "node long, shingles binary").filter(F.length("shingles") > 0), f"{tag}-sets")
         # the hub's set comes last, in place: it isn't shuffled once for each of its pairs
