@@ -19,9 +19,10 @@ BATCH_ROWS = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches by bytes, and lets Python workers import this package."""
+    """Bounds the Arrow batches by bytes, drops a query's shuffle files when it ends, and lets Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root = str(Path(__file__).resolve().parents[2])
     known = os.environ.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

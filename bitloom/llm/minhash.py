@@ -3,11 +3,13 @@
 1. Each text becomes the set of its distinct word shingles (64-bit hashes) and, of this set, HASHES universal hash
    minima; ``digest`` names the set. Documents with one digest are copies and are stood for by the smallest doc_id.
 2. The minima form BANDS bands of ROWS; representatives that agree on a whole band share a bucket.
-3. No bucket is expanded into all its pairs. In each bucket a hub (the member whose buckets hold the most rows)
-   is compared with every member: first by signature, then exactly on the full sets. Links are joined to components by
-   alternating large-star and small-star. What is left are pairs of a bucket that lie in different components and
-   weren't compared. Buckets with few of these per member compare them all; larger ones name further hubs, twice as many each turn.
-   This goes on until no such pair is left, so every pair that shares a bucket is either compared or already connected.
+3. Buckets chain documents into families: each bucket ties its members to its smallest one, and alternating large-star and
+   small-star joins these ties. No bucket is expanded into its pairs.
+4. Each family is dealt into blocks of bounded bytes. A block compares its members by signature and, most alike first, exactly on
+   the full sets, unless links found before connect the two already; it returns only links that connect something.
+5. A family of several blocks goes on with its buckets that still span several components: their documents outside the family's
+   largest component are compared, again block by block, with all documents in such buckets. So every pair that shares a
+   bucket is compared or connected already. Links become components by alternating stars again.
 
 Two documents at similarity 0.8 share no band with a probability of (1 - 0.8**7)**56 = 2e-6, and the signature
 test leaves out a true link with about 1e-6 (five standard deviations).
@@ -19,7 +21,7 @@ null doc_ids take no part in links and get no component; other columns don't mat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +34,10 @@ from .common import Workspace, as_bytes, binary_of, prepare
 
 _SEED = 20_240_229
 _MEMORY_WORDS = 500_000
-#: Up to so many ids (8 MB) are broadcast to pick the texts to compare; more of them are joined by a shuffle.
-_BROADCAST_IDS = 1_000_000
-#: Pairs that a bucket may compare at once for each member; beyond them it goes on by hubs.
-_PAIRS_PER_MEMBER = 16
+#: Up to so many rows (8 numbers each, 64 MB) of a placement are broadcast to pick the texts to compare; more are joined by a shuffle.
+_BROADCAST_ROWS = 1_000_000
+#: What a block holds at most, beside one document: bytes of sets and signatures, and documents.
+_BLOCK_BYTES, _BLOCK_ROWS = 16 << 20, 1000
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ class Sketcher:
             values = np.multiply(part, self.times, out=space[: len(part)])
             values += self.plus
             np.minimum(least, values.min(axis=0), out=least)
-        return (least >> np.uint64(32)).astype(np.uint32)
+        return (least >> np.uint64(16)).astype(np.uint16)  # bits that are even for sets of up to 2**32
 
     def buckets(self, minima: np.ndarray) -> np.ndarray:
         rows = minima.reshape(self.settings.bands, self.settings.rows).astype(np.uint64)
@@ -105,7 +107,7 @@ class Sketcher:
 def _sketch(settings: Settings):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Sketcher(settings)
-        empty = np.zeros(0, np.uint32)
+        empty = np.zeros(0, np.uint16)
         for batch in batches:
             sizes, digests, signs = [], [], []
             for text in as_bytes(batch.column(1)):
@@ -122,47 +124,89 @@ def _bands(settings: Settings):
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Sketcher(settings)
         for batch in batches:
-            keys = [of.buckets(np.frombuffer(x, np.uint32)) for x in batch.column(1).to_pylist()]
+            keys = [of.buckets(np.frombuffer(x, np.uint16)) for x in batch.column(1).to_pylist()]
             nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), settings.bands)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["node", "bucket"])
 
     return bands
 
 
-def _sets(settings: Settings):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(settings: Settings):
+    """Adds the full set and the signature of each text, for the block comparisons."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Sketcher(settings)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_of([of.shingles(x) for x in as_bytes(batch.column(1))])], ["node", "shingles"])
+            sets = [of.shingles(x) for x in as_bytes(batch.column("text"))]
+            names = ["node", "family", "component", "cells"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), binary_of(sets), binary_of([of.minima(x) for x in sets])], [*names, "shingles", "sign"])
+
+    return measured
 
-    return sets
 
+def connecting(rows: list[tuple], settings: Settings, within: bool) -> list[tuple[int, int]]:
+    """Links between rows (node, component, is_left, shingles, sign) that connect two components, those most alike first.
 
-def _alike(settings: Settings):
-    """Keeps pairs whose signatures agree as often as five standard deviations below the limit, at least."""
+    within: all pairs; else pairs of a left row and a right row. A pair is linked if 100 * intersection >= percent * union. Signatures
+    that agree less often than five standard deviations below the limit aren't compared further."""
     limit = settings.percent / 100
     least = settings.hashes * limit - 5 * (settings.hashes * limit * (1 - limit)) ** 0.5
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([int((x == y).sum()) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["hub", "node"]).filter(keep)
-
-    return alike
-
-
-def _linked(settings: Settings):
-    """Keeps pairs whose full sets have 100 * intersection >= percent * union."""
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    signs = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    sizes, component = np.array([len(x) for x in sets]), np.array([r[1] for r in rows])
+    left = np.arange(len(rows)) if within else np.flatnonzero([r[2] for r in rows])
+    right = left if within else np.flatnonzero([not r[2] for r in rows])
+    found: list[tuple[np.ndarray, ...]] = []
+    for at, i in enumerate(left):
+        others = right[at + 1 :] if within else right
+        fit = 100 * np.minimum(sizes[others], sizes[i]) >= settings.percent * np.maximum(sizes[others], sizes[i])
+        others = others[fit & (component[others] != component[i])]
+        agree = (signs[others] == signs[i]).sum(axis=1, dtype=np.int32)
+        near = agree >= least
+        found.append((np.full(int(near.sum()), i), others[near], agree[near]))
+    if not found:
+        return []
+    one, two, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    links = []
+    for at in np.argsort(-agree, kind="stable"):
+        i, j = int(one[at]), int(two[at])
+        a, b = top(rows[i][1]), top(rows[j][1])
+        if a == b:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * both >= settings.percent * (len(sets[i]) + len(sets[j]) - both):
+            parent[max(a, b)] = min(a, b)
+            links.append((rows[i][0], rows[j][0]))
+    return links
+
+
+def _linked(settings: Settings, within: bool):
+    """Rows sorted by block to the links of each block; only one block is held at a time."""
+
+    def table_of(links: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+        hubs, nodes = zip(*links, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["hub", "node"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= settings.percent * (len(a) + len(b) - both))
-            yield batch.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
+            columns = [batch.column(c).to_pylist() for c in ("node", "component", "is_left", "shingles", "sign")]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "part", "chunk")), strict=True)
+            for key, *row in zip(keys, *columns, strict=True):
+                if key != now:
+                    if len(rows) > 1 and (links := connecting(rows, settings, within)):
+                        yield table_of(links)
+                    now, rows = key, []
+                rows.append(row)
+        if len(rows) > 1 and (links := connecting(rows, settings, within)):
+            yield table_of(links)
 
     return linked
 
@@ -193,40 +237,26 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     return work.save(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), name)
 
 
-class Compared:
-    """Compares pairs of nodes, by signature and then on full sets, and remembers which were compared."""
-
-    def __init__(self, documents: DataFrame, nodes: DataFrame, settings: Settings, work: Workspace):
-        self.documents, self.nodes, self.settings, self.work, self.round = documents, nodes, settings, work, 0
-        self.seen: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def __call__(self, pairs: DataFrame) -> int:
-        """pairs: (hub, node) in any order, repeated or not. Returns the number of new links."""
-        self.round += 1
-        work, tag = self.work, f"r{self.round}"
-        new = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-        if self.seen is not None:
-            new = new.join(self.seen, ["hub", "node"], "left_anti")
-        new = work.save(new, f"{tag}-pairs")
-        self.seen = new if self.seen is None else self.seen.unionByName(new)
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("sign").alias(f"{c}_sign"))
-        sized = new.join(side("hub"), "hub").join(side("node"), "node").filter(100 * F.least("hub_n", "node_n") >= self.settings.percent * F.greatest("hub_n", "node_n"))
-        alike = work.save(sized.select("hub", "node", "hub_sign", "node_sign").mapInArrow(_alike(self.settings), "hub long, node long").distinct(), f"{tag}-alike")
-        if alike.isEmpty():
-            return 0
-        asked = work.save(alike.select(F.col("hub").alias("doc_id")).distinct().unionByName(alike.select(F.col("node").alias("doc_id")).distinct()).distinct(), f"{tag}-asked")
-        if asked.count() <= _BROADCAST_IDS:
-            asked = F.broadcast(asked)  # else whole texts would be shuffled for the few that are asked for
-        texts = self.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
-        sets = work.save(texts.mapInArrow(_sets(self.settings), "node long, shingles binary").filter(F.length("shingles") > 0), f"{tag}-sets")
-        # the hub's set comes last, in place: it isn't shuffled once for each of its pairs
-        full = alike.join(sets.withColumnRenamed("shingles", "node_set"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
-        found = work.save(full.select("hub", "node", "node_set", "hub_set").mapInArrow(_linked(self.settings), "hub long, node long").distinct(), f"{tag}-links")
-        work.drop(f"{tag}-sets")
-        work.drop(f"{tag}-alike")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        return found.count()
+def compare(documents: DataFrame, placed: DataFrame, settings: Settings, work: Workspace, name: str, within: bool) -> DataFrame:
+    """Links (hub, node) within blocks; placed: (node, family, component, cells), cells being the blocks (part, chunk, is_left) of a node."""
+    placed = work.save(placed, f"{name}-placed")
+    if placed.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0] <= _BROADCAST_ROWS:
+        placed = F.broadcast(placed)  # else whole texts would be shuffled for the few that are asked for
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node").select("node", "family", "component", "cells", "text")
+    kind = "node long, family long, component long, cells array<struct<part:long,chunk:long,is_left:boolean>>, shingles binary, sign binary"
+    measured = texts.mapInArrow(_measured(settings), kind).filter(F.length("shingles") > 0)
+    dealt = measured.select("*", F.explode("cells").alias("cell")).select("family", "cell.*", "node", "component", "shingles", "sign")
+    block = ["family", "part", "chunk"]
+    return work.save(dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_linked(settings, within), "hub long, node long"), f"{name}-links")
+
+
+def _blocks(rows, weight):
+    """How many blocks hold so many rows of this weight in bytes."""
+    return F.greatest(F.ceil(rows / _BLOCK_ROWS), F.ceil(weight / _BLOCK_BYTES), F.lit(1)).cast("long")
+
+
+def _place(blocks, salt: int):
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks)
 
 
 def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -237,50 +267,34 @@ def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     has = sketched.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = work.save(has.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")), "nodes")
     exploded = nodes.select("node", "sign").mapInArrow(_bands(settings), "node long, bucket long")
-    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = work.save(exploded.join(sizes, "bucket"), "members")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = work.save(members.join(degree, "node").select("bucket", "node", "degree").distinct(), "ranked")
-    compare, component, turn = Compared(documents, nodes, settings, work), None, 0
-    live = ranked.withColumn("component", F.col("node"))
-    every = nodes.count()
-    while True:
-        turn += 1
-        # hubs: the member with the highest degree, and in later turns about twice as many more as in the turn before
-        hubs = live.groupBy("bucket").agg(F.max(F.struct("degree", -F.col("node"))).alias("top"), F.count("*").alias("m")).select("bucket", "m", (-F.col("top.col2")).alias("hub"))
-        if turn == 1:
-            marked = live.join(hubs, "bucket").select("*", F.lit(False).alias("few"), F.lit(None).cast("long").alias("big"), (F.col("hub") == F.col("node")).alias("is_hub"))
-        else:
-            apart = live.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "component")).alias("big"))
-            apart = work.save(apart.select("bucket", F.floor((F.col("m") * F.col("m") - F.col("s")) / 2).alias("left"), F.col("big.component").alias("big")), f"apart-{turn}")
-            all_few = F.lit(apart.agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0] <= every)
-            chosen = (F.col("hub") == F.col("node")) | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("m")) < _PAIRS_PER_MEMBER * 2 ** min(turn, 40))
-            marked = live.join(hubs, "bucket").join(apart, "bucket").withColumns({"few": all_few | (F.col("left") <= _PAIRS_PER_MEMBER * F.col("m")), "is_hub": chosen})
-        marked = work.save(marked.select("bucket", "node", "degree", "component", "few", "big", "is_hub"), f"marked-{turn}")
-        tops = marked.filter("is_hub and not few").select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        pairs = marked.filter("not few").join(tops, "bucket").filter("hub_component <> component").select("hub", "node")
-        if turn > 1:
-            # of a bucket's pairs in different components one lies outside its largest component
-            left = marked.filter("few and component <> big").select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            right = marked.filter("few").select("bucket", "node", "component", "big")
-            pairs = pairs.unionByName(left.join(right, "bucket").filter("hub_component <> component and (component = big or hub < node)").select("hub", "node"))
-        if compare(pairs):
-            component = components(compare.links, work, f"components-{turn}")
-        # a bucket that compared all its pairs is done; a hub is done in its bucket
-        rest = marked.filter("not few and not is_hub").select("bucket", "node", "degree")
-        if component is not None:
-            rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            rest = rest.withColumn("component", F.col("node"))
-        rest = work.save(rest.select("bucket", "node", "degree", "component"), f"rest-{turn}")
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        live = work.save(rest.join(open_, "bucket", "left_semi"), f"live-{turn}")
-        work.drop(f"rest-{turn}")
-        if live.isEmpty():
-            break
-    of_digest = nodes.select("digest", "node")
-    if component is not None:
-        of_digest = of_digest.join(component, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    shared = exploded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket", "low")
+    members = work.save(exploded.join(shared, "bucket"), "members")
+    family = components(members.select(F.col("low").alias("hub"), "node"), work, "families").withColumnRenamed("component", "family")
+    weight = nodes.groupBy("node").agg((F.max("n_shingles") * 8 + 2 * settings.hashes).alias("weight"))
+    family = work.save(family.join(weight, "node"), "weighed")
+    blocks = family.groupBy("family").agg(_blocks(F.count("*"), F.sum("weight")).alias("blocks"))
+    first = family.join(blocks, "family").select("node", "family", "weight", "blocks", _place(F.col("blocks"), 1).alias("part"))
+    first = work.save(first, "first")
+    cell = lambda part, chunk, is_left: F.struct(part.cast("long").alias("part"), chunk.cast("long").alias("chunk"), F.lit(is_left).alias("is_left"))
+    links = compare(documents, first.select("node", "family", F.col("node").alias("component"), F.array(cell(F.col("part"), F.lit(0), False)).alias("cells")), settings, work, "within", True)
+    component = components(links, work, "components")
+    large = first.filter("blocks > 1").select("node", "family", "weight")
+    if not large.isEmpty():
+        named = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = members.select("bucket", "node").join(named.select("node", "component"), "node")
+        open_ = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        live = work.save(named.join(held.join(open_, "bucket", "left_semi").select("node").distinct(), "node", "left_semi"), "live")
+        main = live.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        sided = live.join(main, "family").withColumn("outside", F.col("component") != F.col("main"))
+        outside = lambda x: F.sum(F.when(F.col("outside"), x))
+        grid = sided.groupBy("family").agg(_blocks(outside(F.lit(1)), outside(F.col("weight"))).alias("parts"), _blocks(F.count("*"), F.sum("weight")).alias("chunks"))
+        every = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), of)
+        lefts = F.when(F.col("outside"), every(F.col("chunks"), lambda c: cell(_place(F.col("parts"), 2), c, True)))
+        rights = every(F.col("parts"), lambda p: cell(p, _place(F.col("chunks"), 3), False))
+        across = sided.join(grid, "family").select("node", "family", "component", F.concat(F.coalesce(lefts, F.filter(rights, lambda _: F.lit(False))), rights).alias("cells"))
+        links = links.unionByName(compare(documents, across, settings, work, "across", False))
+        component = components(links, work, "joined")
+    of_digest = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     of_digest = work.save(of_digest, "result")
     work.close(keep=("sketches", "result"))
     named = sketched.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")

@@ -20,7 +20,9 @@ WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS)
 
 
-def test_minhash_links_like_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [1000, 4])
+def test_minhash_links_like_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(minhash, "_BLOCK_ROWS", block_rows)  # small blocks: families go on across blocks
     draw = np.random.default_rng(2)
     base = [WORDS[int(i)] for i in draw.integers(0, 400, 120)]
     texts = [None, "", " \n", "a b", "a b", "A  B", LONG, LONG, LONG + " end"]
