@@ -6,10 +6,11 @@
 3. Buckets chain documents into families: each bucket ties its members to its smallest one, and alternating large-star and
    small-star joins these ties. No bucket is expanded into its pairs.
 4. Each family is dealt into blocks of bounded bytes. A block compares its members by signature and, most alike first, exactly on
-   the full sets, unless links found before connect the two already; it returns only links that connect something.
+   the full sets, unless links found before connect the two already; it returns the components of its members. Blocks of a
+   family share no member, so these need no further joining.
 5. A family of several blocks goes on with its buckets that still span several components: their documents outside the family's
    largest component are compared, again block by block, with all documents in such buckets. So every pair that shares a
-   bucket is compared or connected already. Links become components by alternating stars again.
+   bucket is compared or connected already. What these blocks join are components, by alternating stars again.
 
 Two documents at similarity 0.8 share no band with a probability of (1 - 0.8**7)**56 = 2e-6, and the signature
 test leaves out a true link with about 1e-6 (five standard deviations).
@@ -145,8 +146,9 @@ def _measured(settings: Settings):
 
 
 def connecting(rows: list[tuple], settings: Settings, within: bool) -> list[tuple[int, int]]:
-    """Links between rows (node, component, is_left, shingles, sign) that connect two components, those most alike first.
+    """Pairs (joined, component): what components become by links between rows (node, component, is_left, shingles, sign).
 
+    A component takes the smallest name of those it is linked with; the ones that keep their name aren't listed. Pairs most alike come first.
     within: all pairs; else pairs of a left row and a right row. A pair is linked if 100 * intersection >= percent * union. Signatures
     that agree less often than five standard deviations below the limit aren't compared further."""
     limit = settings.percent / 100
@@ -174,7 +176,6 @@ def connecting(rows: list[tuple], settings: Settings, within: bool) -> list[tupl
             parent[x] = x = parent.get(up, up)
         return x
 
-    links = []
     for at in np.argsort(-agree, kind="stable"):
         i, j = int(one[at]), int(two[at])
         a, b = top(rows[i][1]), top(rows[j][1])
@@ -183,12 +184,11 @@ def connecting(rows: list[tuple], settings: Settings, within: bool) -> list[tupl
         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         if 100 * both >= settings.percent * (len(sets[i]) + len(sets[j]) - both):
             parent[max(a, b)] = min(a, b)
-            links.append((rows[i][0], rows[j][0]))
-    return links
+    return [(top(x), x) for x in list(parent)]
 
 
 def _linked(settings: Settings, within: bool):
-    """Rows sorted by block to the links of each block; only one block is held at a time."""
+    """Rows sorted by block to what each block joins; only one block is held at a time."""
 
     def table_of(links: Iterable[tuple[int, int]]) -> pa.RecordBatch:
         hubs, nodes = zip(*links, strict=True)
@@ -226,7 +226,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
         state, step = tuple(total), step + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = work.save(small, f"{name}-{step}")
@@ -238,7 +238,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 
 def compare(documents: DataFrame, placed: DataFrame, settings: Settings, work: Workspace, name: str, within: bool) -> DataFrame:
-    """Links (hub, node) within blocks; placed: (node, family, component, cells), cells being the blocks (part, chunk, is_left) of a node."""
+    """Components joined within blocks, as (hub, node): the smallest one and another; placed: (node, family, component, cells), cells being the blocks (part, chunk, is_left) of a node."""
     placed = work.save(placed, f"{name}-placed")
     if placed.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0] <= _BROADCAST_ROWS:
         placed = F.broadcast(placed)  # else whole texts would be shuffled for the few that are asked for
@@ -276,8 +276,9 @@ def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     first = family.join(blocks, "family").select("node", "family", "weight", "blocks", _place(F.col("blocks"), 1).alias("part"))
     first = work.save(first, "first")
     cell = lambda part, chunk, is_left: F.struct(part.cast("long").alias("part"), chunk.cast("long").alias("chunk"), F.lit(is_left).alias("is_left"))
-    links = compare(documents, first.select("node", "family", F.col("node").alias("component"), F.array(cell(F.col("part"), F.lit(0), False)).alias("cells")), settings, work, "within", True)
-    component = components(links, work, "components")
+    found = compare(documents, first.select("node", "family", F.col("node").alias("component"), F.array(cell(F.col("part"), F.lit(0), False)).alias("cells")), settings, work, "within", True)
+    component = found.select("node", F.col("hub").alias("component"))
+    of_digest = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     large = first.filter("blocks > 1").select("node", "family", "weight")
     if not large.isEmpty():
         named = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -292,9 +293,8 @@ def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         lefts = F.when(F.col("outside"), every(F.col("chunks"), lambda c: cell(_place(F.col("parts"), 2), c, True)))
         rights = every(F.col("parts"), lambda p: cell(p, _place(F.col("chunks"), 3), False))
         across = sided.join(grid, "family").select("node", "family", "component", F.concat(F.coalesce(lefts, F.filter(rights, lambda _: F.lit(False))), rights).alias("cells"))
-        links = links.unionByName(compare(documents, across, settings, work, "across", False))
-        component = components(links, work, "joined")
-    of_digest = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
+        joined = components(compare(documents, across, settings, work, "across", False), work, "joined")
+        of_digest = of_digest.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     of_digest = work.save(of_digest, "result")
     work.close(keep=("sketches", "result"))
     named = sketched.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
