@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 _CHUNK = 1 << 18
+#: Texts whose features the fit widens at once.
+_FIT_ROWS = 250
 
 
 @dataclass(frozen=True)
@@ -101,32 +103,45 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column | None = None, s
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text or ""))
     share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = share.get(1, 0), share.get(0, 0)
-    distinct = Distinct(settings.bits)
-    return train([distinct(grams(r.text or "", settings)) for r in rows], np.array([r.toxic for r in rows]), toxic, other, settings)
+    distinct, y = Distinct(settings.bits), np.array([r.toxic for r in rows])
+    rows.reverse()
+    features = [distinct(grams(rows.pop().text or "", settings)) for _ in range(len(rows))]  # each text goes as it is read
+    return train(features, y, toxic, other, settings)
 
 
 def train(features: list[np.ndarray], y: np.ndarray, toxic: int, other: int, settings: Settings) -> Model:
-    """toxic, other: how many training labels of either class there are beyond the sample too."""
+    """toxic, other: how many training labels of either class there are beyond the sample too. ``features`` is used up."""
     size = 1 << settings.bits
     if len(set(y.tolist())) < 2:
         rate = toxic / max(1, toxic + other)
         edge = float(np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -40, 40))
         return Model(np.zeros(size, np.float32), edge, settings)
-    p, q = (np.bincount(np.concatenate([f for f, k in zip(features, y, strict=True) if k == side]), minlength=size).astype(float) for side in (1, 0))
+    p, q = np.zeros(size), np.zeros(size)
+    for f, k in zip(features, y, strict=True):
+        (p if k else q)[f] += 1  # a text has each bucket once
     a = settings.smoothing
     ratio = np.log((p + a) / (y.sum() + 2 * a)) - np.log((q + a) / ((1 - y).sum() + 2 * a))
     ratio[(np.abs(ratio) < settings.least_ratio) | (p + q < settings.least_texts)] = 0
-    used = [f[ratio[f] != 0] for f in features]
-    row = np.repeat(np.arange(len(y)), [len(f) for f in used])
-    names, column = np.unique(np.concatenate(used), return_inverse=True)
-    value = ratio[names][column]
+    names = np.flatnonzero(ratio)
+    scale, place = ratio[names], np.full(size, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    for at, f in enumerate(features):
+        found = place[f]
+        features[at] = found[found >= 0]
+    parts = range(0, len(y), _FIT_ROWS)  # texts are taken in parts: wide numbers are held for one part only
     weight, bias = np.zeros(len(names)), 0.0
     moment = [np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0]
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for step in range(1, settings.steps + 1):
-        z = np.bincount(row, weight[column] * value, minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        slope = np.bincount(column, error[row] * value, minlength=len(names)) + settings.l2 * weight / len(names) ** 0.5
+        scaled, error, slope = weight * scale, np.zeros(len(y)), np.zeros(len(names))
+        for at in parts:
+            part = features[at : at + _FIT_ROWS]
+            row, column = np.repeat(np.arange(len(part)), [len(f) for f in part]), np.concatenate(part)
+            z = np.bincount(row, scaled[column], minlength=len(part)) + bias
+            own = slice(at, at + len(part))
+            error[own] = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) * balance[own]
+            slope += np.bincount(column, error[own][row], minlength=len(names))
+        slope = slope * scale + settings.l2 * weight / len(names) ** 0.5
         rate = 0.02 * min(1.0, 3 * (1 - step / (settings.steps + 1)))
         moment[0], moment[1] = 0.9 * moment[0] + 0.1 * slope, 0.99 * moment[1] + 0.01 * slope**2
         moment[2], moment[3] = 0.9 * moment[2] + 0.1 * error.sum(), 0.99 * moment[3] + 0.01 * error.sum() ** 2
@@ -134,7 +149,7 @@ def train(features: list[np.ndarray], y: np.ndarray, toxic: int, other: int, set
         weight -= rate * fix * moment[0] / (moment[1] ** 0.5 + 1e-9)
         bias -= 5 * rate * fix * moment[2] / (moment[3] ** 0.5 + 1e-9)
     full = np.zeros(size, np.float32)
-    full[names] = weight * ratio[names]
+    full[names] = weight * scale
     return Model(full, bias + float(np.log(max(toxic, 1) / max(other, 1))), settings)
 
 
