@@ -2,10 +2,11 @@
 
 The base patterns find protected entities (mail addresses, network addresses, card and phone numbers). Words near an entity
 can reveal it too. From the whole corpus come the documents that hold an entity e, a term t, and both with t near e:
-    information(e) = log2(N / n_e),  revealed(e; t) = log2(N * n_et / (n_e * n_t)),  disclosure = revealed / information,
-the share of the entity's information that the term gives away (1: whoever reads the term knows the entity). A term seen near
-an entity in ``support`` documents or more is generalised to its shape from disclosure ``generalise`` on, and removed
-from ``remove`` on. Terms are runs of three or more letters within ``near`` characters of the entity, in lower case.
+    information(e) = log2(N / n_e),  revealed(e; t) = log2(P(e | t) * N / n_e),  disclosure = revealed / information,
+the share of the entity's information that the term gives away (1: whoever reads the term knows the entity). Every term seen near
+an entity is scored, however few documents hold both: P(e | t) = (n_et + prior * n_e / N) / (n_t + prior) is drawn towards the
+entity's share of all documents as if ``prior`` more documents held the term, so few documents count as weak evidence.
+A term is generalised to its shape from disclosure ``generalise`` on, and removed from ``remove`` on. Terms are runs of three or more letters within ``near`` characters of the entity, in lower case.
 
 Positions come from splitting a text at its matches and summing the lengths of parts and matches, one row for each
 match, so nothing grows with the square of a text's matches. The patterns are written with possessive repeats
@@ -41,7 +42,7 @@ _WORD = r"\p{L}{3,}"
 @dataclass(frozen=True)
 class Settings:
     near: int = 64
-    support: int = 3
+    prior: float = 9.0
     generalise: float = 0.5
     remove: float = 0.8
 
@@ -101,12 +102,13 @@ def disclosing(documents: DataFrame, found: DataFrame, settings: Settings, work:
     """(row, doc_id, kind, start, end) of terms that give away an entity they stand near: kind is an action."""
     near = F.concat(_words(F.col("before"), F.col("start") - F.length("before")), _words(F.col("after"), F.col("end")))
     terms = work.save(found.select("row", "doc_id", "entity", F.explode(near).alias("t")).select("row", "doc_id", "entity", "t.*"), "terms")
-    both = terms.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= settings.support)
+    both = terms.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n_e = found.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     words = F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))
     n_t = documents.select(F.explode(words).alias("term")).filter(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
     total = documents.count()
-    share = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+    base = F.col("n_e") / F.lit(float(total))
+    share = F.log2((F.col("n_et") + settings.prior * base) / ((F.col("n_t") + settings.prior) * base)) / F.log2(1 / base)
     scored = both.join(n_t, "term").join(n_e, "entity").filter(F.col("n_e") < total).withColumn("share", share).filter(F.col("share") >= settings.generalise)
     strong = work.save(scored.select("entity", "term", F.when(F.col("share") >= settings.remove, ACTIONS[1]).otherwise(ACTIONS[0]).alias("kind")), "disclosing")
     # an occurrence near several entities gets the stronger action

@@ -136,6 +136,15 @@ def test_personal_data_spans_and_disclosing_terms(spark):
     assert "@mail" not in clean[0] and clean[60] is None and clean[8] == "plain words 8"
 
 
+def test_entities_of_one_or_two_documents_have_disclosing_terms(spark):
+    texts = [(0, "call Quibblesnatch at one@mail.example.org with words"), *((i, "ask Dromedarius at two@mail.example.org with words") for i in (1, 2))]
+    texts += [(i, f"plain words with number {i} at call ask") for i in range(3, 400)]
+    spans = {r.doc_id: {texts[r.doc_id][1][s["start"] : s["end"]]: s["kind"] for s in r.spans} for r in pii.find(documents(spark, texts)).collect()}
+    assert spans[0] == {"one@mail.example.org": "email", "Quibblesnatch": "generalise"}
+    assert spans[1] == spans[2] == {"two@mail.example.org": "email", "Dromedarius": "generalise"}
+    assert spans[3] == {}
+
+
 def test_url_lists_as_of_the_fetch_day(spark):
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     urls = [(1, "http://a.example.com/x/y", 10), (2, "http://a.example.com/x/y", 200), (3, "HTTPS://User@B.example.com:80/?q", 10), (4, None, 10), (5, "not a url", 10), (6, "http://a.example.com/z", 400), (7, "http://a.example.com/", None)]
