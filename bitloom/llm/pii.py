@@ -1,12 +1,16 @@
 """Personal data: exact patterns, and information-theoretic sanitisation of the words around them. DataFrame functions only.
 
-The base patterns find protected entities (mail addresses, network addresses, card and phone numbers). Words near an entity
-can reveal it too. From the whole corpus come the documents that hold an entity e, a term t, and both with t near e:
+The base patterns find protected entities (mail addresses, network addresses, card and phone numbers). Other words
+of its documents can reveal it too. From the whole corpus come the documents that hold an entity e, a term t, and both:
     information(e) = log2(N / n_e),  revealed(e; t) = log2(P(e | t) * N / n_e),  disclosure = revealed / information,
-the share of the entity's information that the term gives away (1: whoever reads the term knows the entity). Every term seen near
-an entity is scored, however few documents hold both: P(e | t) = (n_et + prior * n_e / N) / (n_t + prior) is drawn towards the
+the share of the entity's information that the term gives away (1: whoever reads the term knows the entity). Every term of
+an entity's documents is scored, however few hold both: P(e | t) = (n_et + prior * n_e / N) / (n_t + prior) is drawn towards the
 entity's share of all documents as if ``prior`` more documents held the term, so few documents count as weak evidence.
-A term is generalised to its shape from disclosure ``generalise`` on, and removed from ``remove`` on. Terms are runs of three or more letters within ``near`` characters of the entity, in lower case.
+In the documents of the entity, every occurrence of a term is generalised to its shape from disclosure ``generalise`` on,
+and removed from ``remove`` on. Terms are runs of three or more letters outside base spans, in lower case.
+
+Entities that stand in the same documents have the same disclosures, so they are scored as one group (told by the number of
+its documents and 128 bits of hashes over them): a document with many entities of its own has its terms scored once.
 
 Positions come from splitting a text at its matches and summing the lengths of parts and matches, one row for each
 match, so nothing grows with the square of a text's matches. The patterns are written with possessive repeats
@@ -41,22 +45,18 @@ _WORD = r"\p{L}{3,}"
 
 @dataclass(frozen=True)
 class Settings:
-    near: int = 64
     prior: float = 9.0
     generalise: float = 0.5
     remove: float = 0.8
 
 
-def _hits(text: Column, kind: str, near: int) -> Column:
-    """Array of (kind, place, gap before, match, text before, text after) of all matches of a kind."""
-    pattern = F.lit(_PATTERN[kind])
-    matches, parts = F.regexp_extract_all(text, pattern, 0), F.split(text, _PATTERN[kind], -1)
+def _hits(text: Column, kind: str) -> Column:
+    """Array of (kind, place, gap before, match) of all matches of a kind."""
+    matches, parts = F.regexp_extract_all(text, F.lit(_PATTERN[kind]), 0), F.split(text, _PATTERN[kind], -1)
     hinted = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_HINT[kind])
-    before = lambda p: F.when(F.length(p) > near, F.regexp_replace(F.right(p, F.lit(near)), r"^\S+", "")).otherwise(p)
-    after = lambda p: F.when(F.length(p) > near, F.regexp_replace(F.left(p, F.lit(near)), r"\S+$", "")).otherwise(p)
-    row = lambda m, i, p: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(F.get(p, i)).alias("gap"), m.alias("match"), before(F.get(p, i)).alias("before"), after(F.get(p, i + 1)).alias("after"))
+    row = lambda m, i, p: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(F.get(p, i)).alias("gap"), m.alias("match"))
     made = F.get(F.transform(F.array(F.struct(matches.alias("m"), parts.alias("p"))), lambda x: F.transform(x["m"], lambda m, i: row(m, i, x["p"]))), F.lit(0))
-    return F.when(hinted, made).otherwise(F.array().cast("array<struct<kind:string,place:int,gap:int,match:string,before:string,after:string>>"))
+    return F.when(hinted, made).otherwise(F.array().cast("array<struct<kind:string,place:int,gap:int,match:string>>"))
 
 
 def _digits(match: Column) -> Column:
@@ -76,55 +76,70 @@ def _passes() -> Column:
     )
 
 
-def _words(text: Column, start: Column) -> Column:
-    """Array of (term, start, end) of the words of a short text that begins at ``start``."""
-    matches, parts = F.regexp_extract_all(text, F.lit(_WORD), 0), F.split(text, _WORD, -1)
-    sizes = F.arrays_zip(matches.alias("m"), F.slice(parts, F.lit(1), F.size(matches)).alias("p"))
-    first = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
-    step = lambda a, z: F.struct((a["at"] + F.length(z["p"]) + F.length(z["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(F.lower(z["m"]).alias("term"), (a["at"] + F.length(z["p"])).alias("start"), (a["at"] + F.length(z["p"]) + F.length(z["m"])).alias("end")))).alias("out"))
-    return F.aggregate(sizes, first, step, lambda a: a["out"])
-
-
-def spans(documents: DataFrame, settings: Settings, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """All rows as (row, doc_id), and the passing base spans (row, doc_id, kind, start, end, entity, before, after)."""
+def spans(documents: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows as (row, doc_id), the passing base spans (row, kind, start, end, entity), and the texts (row, text) of their rows."""
     text = F.col("__text")
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("__text"))
-    found = rows.select("row", "doc_id", F.explode_outer(F.concat(*(_hits(text, k, settings.near) for k in KINDS))).alias("hit")).select("row", "doc_id", "hit.*")
-    hits = work.save(found, "hits")
+    # the numbers of rows hold for this one run only, so texts with matches are written with them
+    found = rows.select("row", "doc_id", F.concat(*(_hits(text, k) for k in KINDS)).alias("hits"), text)
+    hits = work.save(found.select("row", "doc_id", "hits", F.when(F.size("hits") > 0, text).alias("text")), "hits")
     order = Window.partitionBy("row", "kind").orderBy("place")
-    placed = hits.filter(F.col("kind").isNotNull()).repartition("row").withColumn("end", F.sum(F.col("gap") + F.length("match")).over(order).cast("int"))
+    placed = hits.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").repartition("row").withColumn("end", F.sum(F.col("gap") + F.length("match")).over(order).cast("int"))
     entity = F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match")))
-    kept = placed.filter(_passes()).select("row", "doc_id", "kind", (F.col("end") - F.length("match")).alias("start"), "end", entity.alias("entity"), "before", "after")
-    return hits.select("row", "doc_id").distinct(), work.save(kept, "spans")
-
-
-def disclosing(documents: DataFrame, found: DataFrame, settings: Settings, work: Workspace) -> DataFrame:
-    """(row, doc_id, kind, start, end) of terms that give away an entity they stand near: kind is an action."""
-    near = F.concat(_words(F.col("before"), F.col("start") - F.length("before")), _words(F.col("after"), F.col("end")))
-    terms = work.save(found.select("row", "doc_id", "entity", F.explode(near).alias("t")).select("row", "doc_id", "entity", "t.*"), "terms")
-    both = terms.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    n_e = found.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))
-    n_t = documents.select(F.explode(words).alias("term")).filter(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_t"))
+    kept = work.save(placed.filter(_passes()).select("row", "kind", (F.col("end") - F.length("match")).alias("start"), "end", entity.alias("entity")), "spans")
+    return hits.select("row", "doc_id"), kept, hits.filter(F.col("text").isNotNull()).select("row", "text").join(kept.select("row").distinct(), "row", "left_semi")
+
+
+def occurrences(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, start, end, term) of every term in the texts, cut where a base span begins or ends in it."""
+    matches = F.regexp_extract_all("text", F.lit(_WORD), 0)
+    each = texts.select("row", F.posexplode(F.arrays_zip(matches.alias("m"), F.split("text", _WORD, -1).alias("p"))).alias("place", "z")).filter(F.col("z.m").isNotNull())
+    upto = F.sum(F.length("z.p") + F.length("z.m")).over(Window.partitionBy("row").orderBy("place")).cast("int")
+    words = each.select("row", F.col("z.m").alias("word"), upto.alias("end")).select("row", (F.col("end") - F.length("word")).alias("start"), "end", "word")
+    # both frames end at the current row: those that begin there take the square of a document's words
+    upward, downward = (Window.partitionBy("row").orderBy(o, F.col("word").isNotNull()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("start"), F.desc("start")))
+    is_base = F.col("word").isNull()
+    covered = F.max(F.when(is_base, F.col("end"))).over(upward)
+    following = F.min(F.when(is_base, F.col("start"))).over(downward)
+    mixed = words.unionByName(base.select("row", "start", "end", F.lit(None).cast("string").alias("word"))).withColumns({"__covered": covered, "__following": following}).filter("word is not null")
+    cut = mixed.select("row", F.greatest("start", "__covered").alias("from"), F.least("end", "__following").alias("upto"), "start", "word").filter(F.col("upto") - F.col("from") >= 3)
+    return cut.select("row", F.col("from").alias("start"), F.col("upto").alias("end"), F.lower(F.substring("word", F.col("from") - F.col("start") + 1, F.col("upto") - F.col("from"))).alias("term"))
+
+
+def disclosing(documents: DataFrame, base: DataFrame, texts: DataFrame, settings: Settings, work: Workspace) -> DataFrame:
+    """(row, kind, start, end) of the terms that give away an entity of their document: kind is an action."""
+    terms = work.save(occurrences(base, texts), "terms")
+    held = base.select("row", "entity").distinct()
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("bit_xor(xxhash64(row, 1))").alias("y"))
+    group = F.struct("n_e", "x", "y")
+    groups = work.save(held.join(sets, "entity").select("row", group.alias("group")).distinct(), "groups")
+    pairs = work.save(terms.select("row", "term").distinct().join(groups, "row"), "pairs")
+    words = F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(text_or_empty(), F.lit(_WORD), 0), " ")), " "))
+    n_t = work.save(documents.select(F.explode(words).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")), "n_t")
     total = documents.count()
-    base = F.col("n_e") / F.lit(float(total))
-    share = F.log2((F.col("n_et") + settings.prior * base) / ((F.col("n_t") + settings.prior) * base)) / F.log2(1 / base)
-    scored = both.join(n_t, "term").join(n_e, "entity").filter(F.col("n_e") < total).withColumn("share", share).filter(F.col("share") >= settings.generalise)
-    strong = work.save(scored.select("entity", "term", F.when(F.col("share") >= settings.remove, ACTIONS[1]).otherwise(ACTIONS[0]).alias("kind")), "disclosing")
-    # an occurrence near several entities gets the stronger action
-    return terms.join(strong, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"), F.first("doc_id").alias("doc_id")).select("row", "doc_id", "kind", "start", "end")
+    part = F.col("group.n_e") / F.lit(float(total))
+    # a word cut at a base span may stand nowhere as a whole word
+    in_all = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_et"))
+    share = F.log2((F.col("n_et") + settings.prior * part) / ((in_all + settings.prior) * part)) / F.log2(1 / part)
+    counted = pairs.groupBy("group", "term").agg(F.count("*").alias("n_et")).filter(F.col("group.n_e") < total)
+    scored = counted.join(n_t, "term", "left").withColumn("share", share).filter(F.col("share") >= settings.generalise)
+    strong = work.save(scored.select("group", "term", F.when(F.col("share") >= settings.remove, ACTIONS[1]).otherwise(ACTIONS[0]).alias("kind")), "disclosing")
+    # a term that gives away several entities of its document gets the stronger action
+    marked = pairs.join(strong, ["group", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))
+    return terms.join(marked, ["row", "term"]).select("row", "kind", "start", "end")
 
 
 def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, spans: array of (kind number, kind, start, end), base kinds first, each by start) of every row."""
     work = Workspace(documents.sparkSession, "pii")
-    rows, base = spans(documents, settings, work)
-    added = disclosing(documents, base, settings, work)
+    rows, base, texts = spans(documents, work)
+    added = disclosing(documents, base, texts, settings, work)
     number = F.array_position(F.array(*map(F.lit, KINDS + ACTIONS)), F.col("kind")).cast("int")
-    empty = rows.select("row", "doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    every = empty.unionByName(base.select("row", "doc_id", "kind", "start", "end")).unionByName(added)
+    empty = rows.withColumns({"kind": F.lit(None).cast("string"), "start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
+    spread = lambda found: found.select("row", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "end")
+    every = empty.unionByName(spread(base)).unionByName(spread(added))
     one = F.when(F.col("kind").isNotNull(), F.struct(number.alias("number"), F.col("start"), F.col("end"), F.col("kind")))
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(one)).alias("spans")).drop("row")
+    return every.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sort_array(F.collect_list(one)).alias("spans")).drop("row")
 
 
 def joined(found: Column) -> Column:

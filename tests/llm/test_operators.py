@@ -145,6 +145,14 @@ def test_entities_of_one_or_two_documents_have_disclosing_terms(spark):
     assert spans[3] == {}
 
 
+def test_disclosing_terms_are_marked_in_the_whole_document(spark):
+    filler = " ".join(f"plain words {i}" for i in range(60))
+    far = f"Quibblesnatch wrote. {filler} ask one@mail.example.org, +1 (555) 010-9999 quibblesnatch {filler} QUIBBLESNATCH éann@x.org"
+    texts = [(0, far), (1, far), *((i, f"plain words with number {i} wrote ask") for i in range(2, 400))]
+    found = {r.doc_id: [(far[s["start"] : s["end"]], s["kind"]) for s in r.spans] for r in pii.find(documents(spark, texts)).collect() if r.doc_id < 2}
+    assert found[0] == found[1] == [("one@mail.example.org", "email"), ("ann@x.org", "email"), ("+1 (555) 010-9999", "phone"), *((w, "generalise") for w in ("Quibblesnatch", "quibblesnatch", "QUIBBLESNATCH"))]
+
+
 def test_url_lists_as_of_the_fetch_day(spark):
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     urls = [(1, "http://a.example.com/x/y", 10), (2, "http://a.example.com/x/y", 200), (3, "HTTPS://User@B.example.com:80/?q", 10), (4, None, 10), (5, "not a url", 10), (6, "http://a.example.com/z", 400), (7, "http://a.example.com/", None)]
