@@ -1,5 +1,6 @@
 """The corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import base64
 import re
 
 import numpy as np
@@ -95,6 +96,17 @@ def test_quality_keeps_clean_and_drops_repeats(spark):
     assert got == {1: (0, True), 2: (400, True), 3: (1200, False)}
 
 
+def test_quality_drops_base64(spark):
+    draw = np.random.default_rng(4)
+    prose = lambda n: " ".join(WORDS[i] + WORDS[j] for i, j in draw.integers(0, 400, (n, 2)))[:n]
+    dump = lambda n: "\n".join(base64.b64encode(draw.bytes(48)).decode() for _ in range(n // 65 + 1))[:n]
+    texts = [(i, dump(n)) for i, n in enumerate((300, 400, 600, 900, 1500, 3000, 5000, 20000))]
+    texts += [(20, prose(6000)), (21, prose(4096) + dump(2000)), (22, prose(4096) + dump(200)), (23, prose(4096) + dump(8192))]
+    got = {r.doc_id: (r.band_kept, r.n_chunks, r.n_bad_chunks) for r in quality.measure(documents(spark, texts), keep=["doc_id"]).collect()}
+    assert [got[i][0] for i in range(8)] == [False] * 8
+    assert [got[i] for i in range(20, 24)] == [(True, 2, 0), (False, 2, 1), (True, 1, 0), (False, 3, 2)]
+
+
 def test_token_cache_encodes_only_misses(spark, tmp_path):
     cache, path = str(tmp_path / "cache"), public.path("byte_bpe_50k.json")
     docs = documents(spark, [(1, None), (2, ""), (3, "hello world"), (4, "hello world"), (4, "hello world")])
