@@ -4,7 +4,8 @@ The rules' expressions are compiled to one minimal automaton (automaton.py) whos
 a match ends there. Each text is read once, byte by byte, through its transition array; a text in which no rule ends
 is done. Where rules end, and only for those rules, exact spans are found: the rule's reversed automaton marks
 where matches may begin, and its anchored automaton takes the longest match from the leftmost start, then from the next start
-after its end. Matches are leftmost, longest and non-overlapping within a rule; a rule's tests drop matches afterwards, and
+after its end. A private key's rule takes its body too; as its BEGIN line alone is a match, only that line is in the combined
+automaton. Matches are leftmost, longest and non-overlapping within a rule; a rule's tests drop matches afterwards, and
 dropped ones still use up their text. Rules don't disturb each other.
 
 Defined results: null counts as empty and has no secrets; positions are code points, ends exclusive; repeated rows are
@@ -33,8 +34,16 @@ class Rule:
     #: Least characters of the match, or of what follows ``prefix`` in it.
     least: int = 0
     prefix: str = ""
+    #: What each match begins with and may end with, where the one pass needn't read further; the expression itself by default.
+    opening: str = ""
 
 
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: White space, or line ends as they are written in quoted texts.
+_BREAK = r"(?:[\x20\t\r\n]|\\[nr])+"
+#: Base64, white space and header signs up to the END line, or without one: headers, base64 runs of 16 or more, and what is left of the last.
+_BODY = rf"""(?:(?:[A-Za-z0-9+/=\x20\t\r\n\\:,.()"'>]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----|(?:{_BREAK}(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]+)*(?:{_BREAK}[A-Za-z0-9+/]{{16,}}=*)+(?:{_BREAK}[A-Za-z0-9+/]+=*)?)"""
+
 #: The base rules, in their order. A run of hexadecimal digits is maximal, so its length can stand in the expression.
 BASE = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""),
@@ -45,7 +54,7 @@ BASE = (
 ADDED = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]+", 20),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"{_BEGIN}{_BODY}?", opening=_BEGIN),
 )
 RULES = BASE + ADDED
 
@@ -53,7 +62,7 @@ RULES = BASE + ADDED
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.dfa = combined(tuple(r.pattern for r in rules))
+        self.dfa = combined(tuple(r.opening or r.pattern for r in rules))
         # each entry is the offset of the next state's row, so a step is one addition and one look-up
         self.moves = (self.dfa.moves.astype(np.int64) * 256).tolist()
         self.first, self.accepting = self.dfa.start * 256, self.dfa.accepting * 256
@@ -75,7 +84,8 @@ class Scanner:
         return sorted({rule for s in seen for rule in self.dfa.labels[s >> 8]})
 
     def matches(self, rule: Rule, data: bytes) -> list[tuple[int, int]]:
-        forward, moves, backward, back = self._automata(rule.pattern)
+        forward, moves, _, _ = self._automata(rule.pattern)
+        _, _, backward, back = self._automata(rule.opening or rule.pattern)
         state, least, starts = backward.start * 256, backward.accepting * 256, []
         at = len(data)
         for byte in reversed(data):

@@ -132,6 +132,26 @@ def test_secrets_pass_other_columns_and_nulls(spark):
     assert got == {1: (None, 0), 2: ("[ASSIGN]", 1), 3: ("clean", 0)}
 
 
+def test_private_keys_are_redacted_with_their_bodies(spark):
+    body = [base64.b64encode(bytes((i * k) % 256 for i in range(48))).decode() for k in range(3, 9)] + ["Ab3x"]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n"
+    key = "\n".join([begin, *body, end])
+    texts = {
+        1: (f"a {key} b", "a [PRIVATE_KEY] b"),
+        2: (f"a\n{key}\n{key}\nsaid so", "a\n[PRIVATE_KEY]\n[PRIVATE_KEY]\nsaid so"),
+        3: (key.replace("\n", "\\n") + '"}', '[PRIVATE_KEY]"}'),
+        4: (key.replace("\n", "\r\n"), "[PRIVATE_KEY]"),
+        5: (key.replace("\n", " "), "[PRIVATE_KEY]"),
+        6: (f"{begin}\n{head}\n" + "\n".join([*body, end]), "[PRIVATE_KEY]"),
+        7: (f"{begin}\n" + "\n".join(body), "[PRIVATE_KEY]"),
+        8: (f"{begin}\n{head}\n" + "\n".join(body[:-1]) + "\n\n- more words", "[PRIVATE_KEY]\n\n- more words"),
+        9: (f"the line {begin} is how it begins, é", "the line [PRIVATE_KEY] is how it begins, é"),
+    }
+    got = {r.doc_id: r.text for r in secret_scan.scan(documents(spark, [(i, t) for i, (t, _) in texts.items()]), redact=True).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
+
+
 def test_personal_data_spans_and_disclosing_terms(spark):
     texts = [(i, f"notes by Zanzibar for ann{i % 2}@mail.example.org today") for i in range(8)] + [(i, f"plain words {i}") for i in range(8, 60)]
     texts += [(60, None), (61, "é 4111 1111 1111 1111, 1.2.3.4 and +1 (555) 010-9999; 999.1.1.1 a@b.c%d@e.f")]
