@@ -107,13 +107,23 @@ def cache_manifest(spark, d):
     return labels.join(image_runs(spark, d).groupBy("image").agg(F.count("*").alias("total_runs")), "image")
 
 
-@query
-def row_locate(spark, d):
-    """Every 37th global row by the image whose offset range holds it."""
+def _located(spark, d) -> DataFrame:
     heights = sizes(spark, d).select("image", "h")
     order = Window.orderBy("image")  # one row for each image
     ranges = heights.withColumn("last", F.sum("h").over(order)).withColumn("first", F.col("last") - F.col("h"))
-    return ranges.withColumn("row_idx", F.explode(F.expr("sequence(first, last - 1)"))).filter("row_idx % 37 = 0").select("row_idx", "image", (F.col("row_idx") - F.col("first")).alias("y"))
+    return ranges.withColumn("row_idx", F.explode(F.expr("sequence(first, last - 1)"))).select("row_idx", "image", (F.col("row_idx") - F.col("first")).alias("y"))
+
+
+@query
+def row_locate(spark, d):
+    """Every 37th row of row_locate_all, as its SQL has it."""
+    return _located(spark, d).filter("row_idx % 37 = 0")
+
+
+@query
+def row_locate_all(spark, d):
+    """Every global row by the image whose offset range holds it."""
+    return _located(spark, d)
 
 
 @query
@@ -421,11 +431,21 @@ def best_epoch(spark, d):
     return log.agg(F.min_by("epoch", F.struct("val_bbp", "epoch")).alias("best_epoch"), F.min("val_bbp").alias("best_bbp"), F.max_by("epoch", F.struct("val_bbp", "epoch")).alias("worst_epoch")).withColumns(six("best_bbp"))
 
 
+def _merged(spark, d, c: str, v: str) -> DataFrame:
+    orders = views.read(spark, d, "orders")
+    side = lambda kept, name: orders.filter(kept).select(F.col("o_orderkey").alias("pair_id"), (F.col("o_totalprice") / 1000).alias(name))
+    return reports.merge_one_to_one(side(c, "bits_c"), side(v, "bits_v"), "pair_id").withColumn("bits_sum", F.col("bits_c") + F.col("bits_v")).withColumns(six("bits_c", "bits_v", "bits_sum"))
+
+
 @query
 def lm_cv_merge(spark, d):
-    orders = views.read(spark, d, "orders")
-    side = lambda rest, name: orders.filter(f"o_orderkey % 3 <> {rest}").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_totalprice") / 1000).alias(name))
-    return reports.merge_one_to_one(side(0, "bits_c"), side(1, "bits_v"), "pair_id").withColumn("bits_sum", F.col("bits_c") + F.col("bits_v")).withColumns(six("bits_c", "bits_v", "bits_sum"))
+    """Pairs that stand in both of two parts of the orders, as its SQL has it."""
+    return _merged(spark, d, "o_orderkey % 3 <> 0", "o_orderkey % 3 <> 1")
+
+
+@query
+def lm_cv_merge_all(spark, d):
+    return _merged(spark, d, "true", "true")
 
 
 @query

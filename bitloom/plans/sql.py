@@ -201,6 +201,7 @@ ORACLE_SQL: dict[str, str] = {
     "unified_tokens": f"WITH {TOKENS} SELECT image, y, t, sym, lo, hi FROM tok",
     "cache_manifest": f"WITH {RUNS}, {SIZES}, u AS (SELECT image, string_agg(label, '|' ORDER BY label) AS unique_vals FROM (SELECT DISTINCT image, label FROM px) GROUP BY image), n AS (SELECT image, count(*) AS total_runs FROM runs GROUP BY image) SELECT image, h, w, unique_vals, total_runs FROM sizes JOIN u USING (image) JOIN n USING (image)",
     "row_locate": f"WITH {PX}, rr AS (SELECT DISTINCT image, y FROM px), g AS (SELECT image, y, row_number() OVER (ORDER BY image, y) - 1 AS row_idx FROM rr) SELECT row_idx, image, y FROM g WHERE row_idx % 37 = 0",
+    "row_locate_all": f"WITH {PX}, rr AS (SELECT DISTINCT image, y FROM px) SELECT row_number() OVER (ORDER BY image, y) - 1 AS row_idx, image, y FROM rr",
     "delta_left_hist": f"WITH {LI}, dl AS (SELECT t, (label - lag(label, 1, 0) OVER (PARTITION BY sample, t, y ORDER BY x) + 256) % 256 AS delta FROM pl) SELECT t, delta, count(*) AS n FROM dl GROUP BY ALL",
     "rle_stream_size": f"WITH {LI}, {run_ctes('pl', 'sample, t')} SELECT sample, t, CAST(sum(1 + greatest(1, ceil(len(bin(len)) / 7))) AS BIGINT) AS bytes FROM runs GROUP BY ALL",
     "packed_size": f"WITH {LI} SELECT sample, t, CAST((count(*) + 7) // 8 AS BIGINT) AS bytes, CAST(sum(CAST(label > 0 AS INTEGER)) AS BIGINT) AS ones FROM pl GROUP BY ALL",
@@ -247,6 +248,7 @@ SELECT image, h, w, round(a, 6) AS bits_label, round(b, 6) AS bits_len, round(a
     "topk_unique_facade": f"WITH {RESULTS}, m AS (SELECT id, filename, max(bbp) AS bbp FROM res GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bbp DESC, filename) AS r FROM m) SELECT id, filename, round(bbp, 6) AS bbp FROM r WHERE r = 1",
     "best_epoch": "WITH l AS (SELECT CAST(month(o_orderdate) AS BIGINT) AS epoch, avg(o_totalprice) / 1e5 AS val_bbp FROM orders GROUP BY ALL) SELECT (SELECT epoch FROM l ORDER BY val_bbp, epoch LIMIT 1) AS best_epoch, round((SELECT min(val_bbp) FROM l), 6) AS best_bbp, (SELECT epoch FROM l ORDER BY val_bbp DESC, epoch DESC LIMIT 1) AS worst_epoch",
     "lm_cv_merge": "SELECT a.o_orderkey AS pair_id, round(a.o_totalprice / 1000, 6) AS bits_c, round(b.o_totalprice / 1000, 6) AS bits_v, round(a.o_totalprice / 1000 + b.o_totalprice / 1000, 6) AS bits_sum FROM orders a JOIN orders b USING (o_orderkey) WHERE a.o_orderkey % 3 = 2",
+    "lm_cv_merge_all": "SELECT a.o_orderkey AS pair_id, round(a.o_totalprice / 1000, 6) AS bits_c, round(b.o_totalprice / 1000, 6) AS bits_v, round(a.o_totalprice / 1000 + b.o_totalprice / 1000, 6) AS bits_sum FROM orders a JOIN orders b USING (o_orderkey)",
     "hybrid_bbp": """WITH s AS (SELECT l_orderkey AS pair_id, l_returnflag, l_linenumber AS place, max(l_extendedprice) AS bits FROM lineitem GROUP BY ALL),
 a AS (SELECT pair_id, arg_max(bits, place) AS bits_c FROM s WHERE l_returnflag = 'A' GROUP BY pair_id), n AS (SELECT pair_id, arg_max(bits, place) AS bits_v FROM s WHERE l_returnflag = 'N' GROUP BY pair_id)
 SELECT o_orderkey AS pair_id, round(o_totalprice / 1000, 6) AS bbp_heat, round(bits_c, 6) AS bits_c, round(bits_v, 6) AS bits_v, round((bits_c + bits_v) / 1e4, 6) AS bbp_hybrid, round(coalesce((bits_c + bits_v) / 1e4, o_totalprice / 1000), 6) AS bbp

@@ -27,3 +27,14 @@ def test_query_matches_sql(spark, name):
 def test_every_query_has_sql_or_needs_python():
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE_SQL) == {"ppm_bits", "codec_sizes", "residual_codec", "codec_tile_sizes", "arith_roundtrip"}
+
+
+@pytest.mark.parametrize(("name", "key", "whole"), [("row_locate_all", "row_idx", "SELECT count(*) FROM embeddings"), ("lm_cv_merge_all", "pair_id", "SELECT count(*) FROM orders")])
+def test_every_row_and_order_is_in_the_result(spark, name, key, whole):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    test_query_matches_sql(spark, name)
+    con = duckdb.connect()
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    assert QUERIES[name](spark, DATA).select(key).distinct().count() == con.execute(whole).fetchone()[0]
