@@ -58,6 +58,25 @@ def raster_bytes(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return rows.mapInPandas(_joined, f"{kinds}, data binary")
 
 
+def _packed(frames):
+    for frame in frames:
+        yield frame.assign(data=[np.packbits(np.frombuffer(d, np.uint8), bitorder="little").tobytes() for d in frame["data"]])
+
+
+def packed_bits(rasters: DataFrame) -> DataFrame:
+    """Rasters (keys, h, w, data) of zeros and ones with eight pixels in a byte, the first in the lowest bit."""
+    return rasters.mapInPandas(_packed, rasters.schema)
+
+
+def residual_sizes(residuals: DataFrame, keys: list[str], codecs: tuple[str, ...], levels: tuple[int, ...] = (1, 3, 6, 9)) -> DataFrame:
+    """(keys, h, w, codec, level, bits_c, bits_v, bits_sum, bbp) of each pair: the packed change mask c and the bytes of the new labels v."""
+    stream = lambda name: raster_bytes(residuals.select(*keys, "y", "x", F.col(name).cast("long").alias("label")), keys)
+    sized = lambda rows, name: codec_sizes(rows, codecs, levels).select(*keys, "h", "w", "codec", "level", (8 * F.col("bytes_out")).alias(name))
+    both = sized(packed_bits(stream("c")), "bits_c").join(sized(stream("v"), "bits_v"), [*keys, "h", "w", "codec", "level"])
+    total = F.col("bits_c") + F.col("bits_v")
+    return both.withColumns({"bits_sum": total, "bbp": total / (F.col("h") * F.col("w"))})
+
+
 def packed_bits_size(n: Column) -> Column:
     return F.ceil(n / 8).cast("long")
 

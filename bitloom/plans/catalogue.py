@@ -511,8 +511,7 @@ def codec_sizes(spark, d):
 
 @query
 def residual_codec(spark, d):
-    rows = _residuals(spark, d).select(*KEY, "y", "x", F.col("v").alias("label"))
-    return codecs.codec_sizes(codecs.raster_bytes(rows, KEY), ("lzma", "zstd"))
+    return codecs.residual_sizes(_residuals(spark, d), KEY, ("lzma", "zstd")).withColumns(six("bbp"))
 
 
 @query

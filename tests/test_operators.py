@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitloom.operators import change, entropy, reports, runs
+from bitloom.operators import change, codecs, entropy, reports, runs
 from bitloom.sources import lists, png
 from bitloom.streaming import residuals
 
@@ -63,6 +63,19 @@ def test_residual_rebuilds_the_current_raster(spark):
     assert change.reconstruct(change.residual(a, b, ["image"])).filter("rebuilt <> cur").count() == 0
 
 
+def test_residual_sizes_have_both_streams(spark):
+    draw = np.random.default_rng(6)
+    before, after = draw.integers(0, 4, (2, 3, 5, 7))
+    frame = lambda a: spark.createDataFrame([(i, y, x, int(a[i, y, x])) for i in range(3) for y in range(5) for x in range(7)], "image long, y long, x long, label long")
+    got = codecs.residual_sizes(change.residual(frame(before), frame(after), ["image"]), ["image"], ("lzma", "zstd"), (1, 6)).collect()
+    assert len(got) == 3 * 2 * 2
+    for r in got:
+        c = before[r.image] != after[r.image]
+        size = lambda data: 8 * len(codecs.compressed(data, r.codec, r.level))  # noqa: E731, B023
+        bits_c, bits_v = size(np.packbits(c.reshape(-1), bitorder="little").tobytes()), size(np.where(c, after[r.image], 0).astype(np.uint8).tobytes())
+        assert (r.h, r.w, r.bits_c, r.bits_v, r.bits_sum, r.bbp) == (5, 7, bits_c, bits_v, bits_c + bits_v, (bits_c + bits_v) / 35)
+
+
 def test_ranking_metrics(spark):
     rows = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)], "score double, label int")
     assert abs(change.roc_auc(rows).first().auc - 0.875) < 1e-12
