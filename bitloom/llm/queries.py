@@ -60,7 +60,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measure(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    measured = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return measured.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("band_kept")).alias("kept"), "ratio", "n_chunks", "n_bad_chunks")
