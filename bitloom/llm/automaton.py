@@ -121,6 +121,52 @@ def reversed_tree(node):
     return (node[0], *(reversed(parts) if node[0] == "cat" else parts))
 
 
+#: Openings end where text matches them by chance once in 2**_RARE bytes, if bytes were all alike likely.
+_RARE = 48
+_WAYS = 64
+
+
+def openings(node) -> list[tuple[frozenset[int], ...]]:
+    """Sequences of byte sets, one of which every match of a tree begins with: each of one width, so that its end tells its start.
+
+    A sequence ends where it is rare enough, or where the expression goes on with a varying number of bytes."""
+
+    def rare(way) -> bool:
+        return sum(8 - np.log2(len(s)) for s in way) >= _RARE if all(way) else True
+
+    def extend(ways, node):
+        """(sequence, whether it goes on) of ``ways`` followed by node."""
+        if len(ways) > _WAYS:
+            ways = [(w, False) if w else (w, on) for w, on in ways]
+        done, live = [x for x in ways if not x[1] or rare(x[0])], [x for x in ways if x[1] and not rare(x[0])]
+        done = [(w, False) for w, _ in done]
+        if not live:
+            return done
+        if node[0] == "set":
+            return done + [((*w, node[1]), True) for w, _ in live]
+        if node[0] == "cat":
+            for x in node[1:]:
+                live = extend(live, x)
+            return done + live
+        if node[0] == "alt":
+            return done + [y for x in node[1:] for y in extend(live, x)]
+        _, inner, least, most = node
+        for _ in range(least):
+            live = extend(live, inner)
+        if most == least:
+            return done + live
+        if most == 1:
+            return done + live + extend([x for x in live if x[1]], inner)
+        # goes on with a varying number: those that have begun end here, the others begin after it or in it
+        begun, bare = [(w, False) for w, _ in live if w], [x for x in live if not x[0]]
+        return done + begun + bare + [(w, False) for w, _ in (extend(bare, inner) if bare else [])]
+
+    found = list(dict.fromkeys(w for w, _ in extend([((), True)], node)))
+    if () in found:
+        raise ValueError("the expression matches the empty text")
+    return found
+
+
 class Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []
@@ -233,6 +279,31 @@ def compile_dfa(trees: list, anywhere: bool) -> Dfa:
     return Dfa(moves.reshape(-1), place[part[0]], sum(not x for x in labels), labels, dead)
 
 
+@lru_cache(maxsize=8)
+def opening_automaton(patterns: tuple[str, ...]) -> tuple[Dfa, tuple[tuple[int, int], ...]]:
+    """The DFA of all rules' openings anywhere in a text; its labels are numbers into (rule, width)."""
+    ways = [(rule, way) for rule, p in enumerate(patterns) for way in openings(Parser(p).parse())]
+    dfa = compile_dfa([("cat", *(("set", s) for s in way)) for _, way in ways], True)
+    return dfa, tuple((rule, len(way)) for rule, way in ways)
+
+
+@lru_cache(maxsize=8)
+def anchored(patterns: tuple[str, ...]) -> Dfa:
+    """One DFA of all rules' whole expressions, for matches that begin at a known byte."""
+    return compile_dfa([Parser(p).parse() for p in patterns], False)
+
+
+def reaching(dfa: Dfa, rule: int) -> bytes:
+    """For each state 0 (no match of the rule can follow), 1 (one can) or 2 (one ends here)."""
+    moves = dfa.moves.reshape(-1, 256)
+    found = np.array([2 if rule in x else 0 for x in dfa.labels], np.uint8)
+    while True:
+        more = (found == 0) & (found[moves] > 0).any(axis=1)
+        if not more.any():
+            return found.tobytes()
+        found[more] = 1
+
+
 @lru_cache(maxsize=64)
 def rule_automata(pattern: str) -> tuple[Dfa, Dfa]:
     """For one rule: the anchored DFA, and the DFA that finds starts of matches when the text is read backwards."""
@@ -240,11 +311,6 @@ def rule_automata(pattern: str) -> tuple[Dfa, Dfa]:
     return compile_dfa([tree], False), compile_dfa([reversed_tree(tree)], True)
 
 
-@lru_cache(maxsize=8)
-def combined(patterns: tuple[str, ...]) -> Dfa:
-    return compile_dfa([Parser(p).parse() for p in patterns], True)
-
-
 def longest(dfa_moves: list[int], dfa: Dfa, data: bytes, at: int) -> int:
     """End of the longest match that begins at ``at``, or -1."""
     state, end = dfa.start, at if dfa.start >= dfa.accepting else -1

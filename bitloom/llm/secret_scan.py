@@ -1,15 +1,18 @@
-"""Secret scans: all rules in one pass over the bytes, by one combined deterministic automaton.
-
-The rules' expressions are compiled to one minimal automaton (automaton.py) whose accepting states name the rules of which
-a match ends there. Each text is read once, byte by byte, through its transition array; a text in which no rule ends
-is done. Where rules end, and only for those rules, exact spans are found: the rule's reversed automaton marks
-where matches may begin, and its anchored automaton takes the longest match from the leftmost start, then from the next start
-after its end. A private key's rule takes its body too; as its BEGIN line alone is a match, only that line is in the combined
-automaton. Matches are leftmost, longest and non-overlapping within a rule; a rule's tests drop matches afterwards, and
+"""Secret scans: all rules in one pass over the bytes, by combined deterministic automata.
+
+The rules' expressions are compiled to two minimal automata for all of them (automaton.py). The first finds, anywhere, the opening of each rule:
+the sequences of one width each that every match begins with, as far as they are needed to be rare. The one pass
+over a text steps through its transition array, byte by byte; its accepting states name rules and widths, so the pass itself gives the
+bytes at which matches of all rules may begin. The second automaton, of the whole expressions, goes on from such a byte, and only as long as a match of
+that rule can follow, to the longest match. Nothing else of the text is read again. Where many openings of a rule lead nowhere in one text (more bytes than a few
+times the text were read in vain), that rule's starts are told by its reversed automaton, in one pass backwards, so time stays linear.
+
+Matches are leftmost, longest and non-overlapping within a rule; a rule's tests drop matches afterwards, and
 dropped ones still use up their text. Rules don't disturb each other.
 
 Defined results: null counts as empty and has no secrets; positions are code points, ends exclusive; repeated rows are
-scanned each; other columns pass through; overlapping spans of several rules are redacted as one.
+scanned each; other columns pass through untouched, whatever their names, but ``secrets``, which is replaced; overlapping spans of several rules are redacted
+as one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .automaton import combined, longest, rule_automata
+from .automaton import anchored, longest, opening_automaton, reaching, rule_automata
 from .common import as_bytes, prepare
 
 
@@ -34,8 +37,6 @@ class Rule:
     #: Least characters of the match, or of what follows ``prefix`` in it.
     least: int = 0
     prefix: str = ""
-    #: What each match begins with and may end with, where the one pass needn't read further; the expression itself by default.
-    opening: str = ""
 
 
 _BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
@@ -53,19 +54,38 @@ BASE = (
 #: Public formats of tokens and keys beyond the base.
 ADDED = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]+", 60),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]+", 20),
-    Rule("private_key", rf"{_BEGIN}{_BODY}?", opening=_BEGIN),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 24),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("npm", r"npm_[A-Za-z0-9]+", 40),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", 40),
+    Rule("url_login", r"://[A-Za-z0-9._~%!$&*+-]+:[^\x20\t\r\n/@:\"'<>]+@", 8),
+    Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+[A-Za-z0-9._~+/-]+=*", 20, r"(?i:authorization:\x20*bearer)\x20+"),
+    Rule("private_key", rf"{_BEGIN}{_BODY}?"),
 )
 RULES = BASE + ADDED
 
 
+#: How many times a text's length (and bytes beside) may be read from openings that lead nowhere, for each rule.
+_VAIN, _VAIN_BYTES = 4, 10_000
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.dfa = combined(tuple(r.opening or r.pattern for r in rules))
+        patterns = tuple(r.pattern for r in rules)
+        self.dfa, self.ways = opening_automaton(patterns)
         # each entry is the offset of the next state's row, so a step is one addition and one look-up
         self.moves = (self.dfa.moves.astype(np.int64) * 256).tolist()
         self.first, self.accepting = self.dfa.start * 256, self.dfa.accepting * 256
+        self.whole = anchored(patterns)
+        self.steps = (self.whole.moves.astype(np.int64) * 256).tolist()
+        self.reach = [reaching(self.whole, rule) for rule in range(len(rules))]
+        # ends of openings come in the order of their starts where all are of one width
+        self.steady = [len({w for r, w in self.ways if r == rule}) == 1 for rule in range(len(rules))]
         self.single: dict[str, tuple] = {}
 
     def _automata(self, pattern: str):
@@ -74,18 +94,21 @@ class Scanner:
             self.single[pattern] = forward, forward.moves.tolist(), backward, (backward.moves.astype(np.int64) * 256).tolist()
         return self.single[pattern]
 
-    def rules_in(self, data: bytes) -> list[int]:
-        """The one pass: which rules have a match."""
-        state, moves, accepting, seen = self.first, self.moves, self.accepting, set()
-        for byte in data:
-            state = moves[state + byte]
-            if state >= accepting:
-                seen.add(state)
-        return sorted({rule for s in seen for rule in self.dfa.labels[s >> 8]})
-
-    def matches(self, rule: Rule, data: bytes) -> list[tuple[int, int]]:
-        forward, moves, _, _ = self._automata(rule.pattern)
-        _, _, backward, back = self._automata(rule.opening or rule.pattern)
+    def _end(self, rule: int, data: bytes, start: int) -> tuple[int, int]:
+        """(end of the rule's longest match from start, or -1; bytes read beyond it)."""
+        state, steps, reach, end, at = self.whole.start * 256, self.steps, self.reach[rule], -1, start
+        for at in range(start, len(data)):
+            state = steps[state + data[at]]
+            found = reach[state >> 8]
+            if found == 2:
+                end = at + 1
+            elif not found:
+                break
+        return end, at + 1 - (end if end >= 0 else start)
+
+    def _backwards(self, rule: int, data: bytes) -> list[tuple[int, int]]:
+        """All matches of a rule with starts told by its reversed automaton."""
+        forward, moves, backward, back = self._automata(self.rules[rule].pattern)
         state, least, starts = backward.start * 256, backward.accepting * 256, []
         at = len(data)
         for byte in reversed(data):
@@ -98,7 +121,44 @@ class Scanner:
             if start >= after:
                 after = longest(moves, forward, data, start)
                 found.append((start, after))
-        return [x for x in found if self._passes(rule, data, *x)]
+        return found
+
+    def _all(self, data: bytes) -> list[list[tuple[int, int]]]:
+        """The one pass: the matches of each rule, before its tests."""
+        n = len(self.rules)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        later: list[list[int]] = [[] for _ in range(n)]
+        after, vain, limit = [0] * n, [0] * n, _VAIN * len(data) + _VAIN_BYTES
+
+        def take(rule: int, start: int) -> None:
+            if start < after[rule] or vain[rule] > limit:
+                return
+            end, read = self._end(rule, data, start)
+            vain[rule] += read
+            after[rule] = end if end >= 0 else start + 1
+            if end >= 0:
+                found[rule].append((start, end))
+
+        state, moves, accepting, labels, ways, at = self.first, self.moves, self.accepting, self.dfa.labels, self.ways, 0
+        for byte in data:
+            at += 1
+            state = moves[state + byte]
+            if state >= accepting:
+                for way in labels[state >> 8]:
+                    rule, width = ways[way]
+                    if self.steady[rule]:
+                        take(rule, at - width)
+                    else:
+                        later[rule].append(at - width)
+        for rule in range(n):
+            for start in sorted(later[rule]):
+                take(rule, start)
+            if vain[rule] > limit:
+                found[rule] = self._backwards(rule, data)
+        return found
+
+    def matches(self, rule: Rule, data: bytes) -> list[tuple[int, int]]:
+        return [x for x in self._all(data)[self.rules.index(rule)] if self._passes(rule, data, *x)]
 
     def _passes(self, rule: Rule, data: bytes, start: int, end: int) -> bool:
         if rule.prefix:
@@ -108,7 +168,10 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, str]]:
         """(start, end, kind) in bytes, by start, then in the rules' order."""
-        found = [(start, end, i) for i in self.rules_in(data) for start, end in self.matches(self.rules[i], data)]
+        every = self._all(data)
+        if not any(every):
+            return []
+        found = [(start, end, i) for i, some in enumerate(every) for start, end in some if self._passes(self.rules[i], data, start, end)]
         return [(start, end, self.rules[i].kind) for start, end, i in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
@@ -135,19 +198,14 @@ def _scan(rules: tuple[Rule, ...], redact: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
             spans, texts = [], []
-            for text, known in zip(as_bytes(batch.column(at)), batch.column(at).is_valid().to_pylist(), strict=True):
+            for text, known in zip(as_bytes(batch.column(0)), batch.column(0).is_valid().to_pylist(), strict=True):
                 found = scanner.spans(text)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in code_points(text, found)])
                 if redact:
                     texts.append(redacted(text, found).decode() if known else None)
-            rest = [i for i in range(batch.num_columns) if i != at]
-            columns, names = [batch.column(i) for i in rest], [batch.schema.names[i] for i in rest]
-            if redact:
-                columns.append(pa.array(texts, pa.string()))
-                names.append("__redacted")
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], [*names, "secrets"])
+            columns = [*batch.columns[1:], *([pa.array(texts, pa.string())] if redact else []), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     return scan
 
@@ -156,9 +214,10 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str]
     """The columns in ``keep`` (default: all) and ``secrets``; with redact, ``text`` has [KIND] in place of each span."""
     prepare(documents.sparkSession)
     kept = [c for c in (documents.columns if keep is None else keep) if c != "secrets" and not (redact and c == "text")]
-    shape = documents.select(*kept).schema
-    if redact:
-        shape = shape.add("__redacted", "string")
-    shape = shape.add("secrets", DataType.fromDDL("array<struct<start:long,end:long,kind:string>>"))
-    found = documents.select(*kept, F.col("text").alias("__text")).mapInArrow(_scan(rules, redact), shape)
-    return found.withColumnRenamed("__redacted", "text") if redact else found
+    added = [*(["text"] if redact else []), "secrets"]
+    # by place, so that no name can clash with one of ours
+    rows = documents.select("text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    shape = rows.drop("text").schema
+    for i, name in enumerate(added, len(kept)):
+        shape = shape.add(f"c{i}", DataType.fromDDL("string" if name == "text" else "array<struct<start:long,end:long,kind:string>>"))
+    return rows.mapInArrow(_scan(rules, redact), shape).toDF(*kept, *added)
