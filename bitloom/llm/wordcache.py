@@ -22,6 +22,8 @@ _SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 _DROPS = [{"type": "NFC"}, _SPACES, {"type": "Lowercase"}]
 #: Fixed value: the pre-split of byte-level tokenizers with use_regex.
 _KEEPS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: a pre-split whose parts are runs of letters, single digits and runs of other signs.
+_LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNK = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 _PLAIN = re.compile("[\x00-įı-ɏ]*")
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -34,6 +36,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b not in set(others) else chr(256 + others.index(b)) for b in range(256)]
 
 
+class _Numbers(dict):
+    """Chunks to their numbers; an unknown one is learned as it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = found = self.learn(chunk, len(self))
+        return found
+
+
 class WordCache:
     def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
@@ -52,36 +66,42 @@ class WordCache:
         usable = kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not kind.get("post_processor")
         self.drops, self.keeps = self.drops and usable, self.keeps and usable
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"] if self.drops else _KEEPS)
+        self.letter_runs = self.pattern.pattern in (_LETTER_RUNS, _KEEPS)
         self.tokenize = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers(self._learn)
         self.parts: dict[str, list[int]] = {}
         self.flat, self.ends = array("I"), array("q", [0])  # ids of all chunks, and where each chunk's end
 
+    def _part(self, part: str) -> list[int]:
+        """The ids of one part of the pre-split."""
+        plain = part.isascii() and part.isprintable()
+        return [t.id for t in self.tokenize(part.replace(" ", "\u0120") if plain else "".join(map(self.letters.__getitem__, part.encode())))]
+
     def _encode(self, chunk: bytes) -> list[int]:
         word = chunk.decode()
-        if not _PLAIN.fullmatch(word):
+        if not word.isascii() and not _PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         if self.drops:
             word = word.lower()
-        if self.keeps and word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
-            return [t.id for t in self.tokenize(word.replace(" ", "\u0120"))]  # the pre-split leaves it in one part
+        core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        letters = core[1:] if self.keeps and core[:1] == " " else core
+        if self.letter_runs and letters.isalpha():  # the pre-split leaves it in one part
+            return self._part(core) + (self._part(mark) if mark else [])
         out: list[int] = []
         for part in self.pattern.findall(word):
             if (ids := self.parts.get(part)) is None:
-                ids = [t.id for t in self.tokenize(part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))]
+                ids = self._part(part)
                 if len(self.parts) < _PARTS:
                     self.parts[part] = ids
             out += ids
         return out
 
-    def _learn(self, chunk: bytes) -> int:
-        ids, name = self._encode(chunk), len(self.number)
-        self.flat.extend(ids)
+    def _learn(self, chunk: bytes, name: int) -> int:
+        self.flat.extend(self._encode(chunk))
         self.ends.append(len(self.flat))
-        self.number[chunk] = name
         return name
 
     def _names(self, text: bytes) -> np.ndarray | None:
@@ -93,8 +113,7 @@ class WordCache:
         if len(self.number) > self.memory:
             self._forget()
         chunks = text.split() if self.drops else _CHUNK.findall(text)
-        get, learn = self.number.get, self._learn
-        return np.fromiter((learn(c) if (n := get(c)) is None else n for c in chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
     def ids(self, text: bytes) -> np.ndarray:
         if (names := self._names(text)) is None:
