@@ -31,11 +31,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one of our own where none is set."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it isn't set, a temporary one of this machine, if Spark runs on it alone; else an error."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="bitloom-"))
     return context.getCheckpointDir()
 

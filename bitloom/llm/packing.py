@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, binary_of, prepare
+from .common import Workspace, as_bytes, binary_of, prepare
 from .wordcache import opened
 
 WINDOW = 2048
@@ -128,6 +128,17 @@ def pack(cut: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) ->
     return full.unionByName(dealt.groupBy("__shard").applyInPandas(shard_packer(window), full.schema))
 
 
+def pack_with_ids(cut: DataFrame, work: Workspace, window: int = WINDOW) -> DataFrame:
+    """What ``pack`` gives for pieces (doc_id, start, length, doc_tokens, ids), with the ids of each.
+
+    Only narrow rows are packed; the ids of remainders meet their places by a number that is written with them."""
+    pieces = work.save(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = work.save(pack(pieces.drop("ids"), window).select("piece", "sequence_id", "offset", "length"), "places")
+    whole = pieces.join(placed.filter(F.col("length") < window).drop("length"), "piece")
+    full = pieces.filter(F.col("length") == window).withColumns({"sequence_id": -1 - F.col("piece"), "offset": F.lit(0).cast("long")})
+    return full.unionByName(whole.select(full.columns)).drop("piece")
+
+
 def padded_length(filled, window: int = WINDOW):
     """What a window holding ``filled`` tokens is padded to."""
     return F.when(F.conv(filled.cast("string"), 10, 2).rlike("^10*$"), filled).otherwise(F.lit(window))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash, mixing, packing, pii, quality, secret_scan, tokencount, topk, toxicity, url_filter
-from .common import Workspace, prepare, table
+from .common import Workspace, prepare, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,8 +125,8 @@ FROM captures c LEFT JOIN best b USING (page_id)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache lies in the shared folder; a run starts with an empty one, so that its figures hold for new texts."""
-    cache = f"{Workspace(prepare(spark), 'tokens').root}/cache"
+    """The cache lies in the shared folder and stays there: a run goes on from whatever it holds."""
+    cache = f"{shared_dir(prepare(spark))}/token-counts"
     counted = tokencount.count(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
