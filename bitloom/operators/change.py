@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import tiles
+from .ranges import running
+from .runs import cells_to_tiles, tiles
 
 
 def pairs(frames: DataFrame, delta: int = 1) -> DataFrame:
@@ -46,10 +47,19 @@ def iid_costs(residuals: DataFrame) -> DataFrame:
 
 
 def tile_scores(residuals: DataFrame, keys: list[str], tile: int, stride: int, h: int, w: Column) -> DataFrame:
-    """(keys, gy, gx, n_pixels, changed_frac, iid_bits) on the floor grid."""
-    covered = tiles(residuals, tile, stride, F.lit(h), w).crossJoin(F.broadcast(iid_costs(residuals)))
+    """(keys, gy, gx, n_pixels, changed_frac, iid_bits) on the floor grid.
+
+    Where tiles are whole numbers of strides, pixels are summed into cells of a stride first, and cells into the tiles that cover them."""
+    costed = residuals.withColumn("__w", w).crossJoin(F.broadcast(iid_costs(residuals)))
     cost = F.when(F.col("c") == 1, F.col("bit1") + F.element_at("bits_v", F.least("v", F.lit(255).cast("long")))).otherwise(F.col("bit0"))
-    return covered.groupBy(*keys, "gy", "gx").agg(F.count("*").alias("n_pixels"), F.avg(F.col("c").cast("double")).alias("changed_frac"), F.sum(cost).alias("iid_bits"))
+    sums = (F.count("*").alias("n"), F.sum("c").alias("ones"), F.sum(cost).alias("cost"))
+    if tile % stride:
+        made = tiles(costed, tile, stride, F.lit(h), F.col("__w")).groupBy(*keys, "gy", "gx").agg(*sums)
+    else:
+        cell = lambda c: F.floor(F.col(c) / stride).cast("long")
+        cells = costed.groupBy(*keys, cell("y").alias("cy"), cell("x").alias("cx")).agg(*sums, F.max("__w").alias("__w"))
+        made = cells_to_tiles(cells, tile, stride, F.lit(h), F.col("__w")).groupBy(*keys, "gy", "gx").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("cost").alias("cost"))
+    return made.select(*keys, "gy", "gx", F.col("n").alias("n_pixels"), (F.col("ones") / F.col("n").cast("double")).alias("changed_frac"), F.col("cost").alias("iid_bits"))
 
 
 def pair_scores(tile_rows: DataFrame, keys: list[str], area: Column, score: str) -> DataFrame:
@@ -59,10 +69,9 @@ def pair_scores(tile_rows: DataFrame, keys: list[str], area: Column, score: str)
 
 
 def _score_counts(rows: DataFrame) -> DataFrame:
-    """(score, pos, neg) of distinct scores, with sums over all higher ones."""
-    by = rows.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
-    return by.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
+    """(score, pos, neg) of distinct scores, with sums over all higher ones; by ranges of scores, as continuous scores are as many as rows."""
+    by = rows.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    return running(by, "score", {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:

@@ -124,3 +124,32 @@ def tiles(pixels: DataFrame, tile: int, stride: int, h: Column, w: Column) -> Da
     some = lambda c, size: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - tile) / stride) + 1).cast("long"), F.least(F.floor(F.col(c) / stride), F.floor((size - tile) / stride)).cast("long"))
     held = lambda c, size: F.when((size >= tile) & (F.greatest(F.lit(0), F.floor((F.col(c) - tile) / stride) + 1) <= F.least(F.floor(F.col(c) / stride), F.floor((size - tile) / stride))), some(c, size))
     return pixels.withColumn("gy", F.explode(held("y", h))).withColumn("gx", F.explode(held("x", w)))
+
+
+def cells_to_tiles(cells: DataFrame, tile: int, stride: int, h: Column, w: Column) -> DataFrame:
+    """Cells (cy, cx) of a stride with every tile (gy, gx) of the floor grid that covers them; a tile is a whole number of strides."""
+    steps = tile // stride
+
+    def held(cell: str, size: Column) -> Column:
+        last = F.floor((size - tile) / stride).cast("long")
+        low, high = F.greatest(F.lit(0).cast("long"), F.col(cell) - (steps - 1)), F.least(F.col(cell), last)
+        return F.when((size >= tile) & (low <= high), F.sequence(low, F.greatest(low, high)))
+
+    return cells.withColumn("gy", F.explode(held("cy", h))).withColumn("gx", F.explode(held("cx", w)))
+
+
+def integral(pixels: DataFrame, keys: list[str], value: str = "label") -> DataFrame:
+    """Adds ``total``: the sum of a value over the rectangle from the first pixel of the image to this one."""
+    along = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    return pixels.withColumn("__row", F.sum(value).over(along)).withColumn("total", F.sum("__row").over(down)).drop("__row")
+
+
+def rectangle(totals: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """(keys, y, x, sum) of every rectangle of that size whose last pixel is (y, x), from an integral image by three look-ups."""
+    corner = lambda dy, dx, name: totals.select(*keys, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("total").alias(name))
+    met = totals.filter((F.col("y") >= height - 1) & (F.col("x") >= width - 1))
+    for dy, dx, name in ((height, 0, "__up"), (0, width, "__left"), (height, width, "__both")):
+        met = met.join(corner(dy, dx, name), [*keys, "y", "x"], "left")
+    got = F.col("total") - F.coalesce("__up", F.lit(0)) - F.coalesce("__left", F.lit(0)) + F.coalesce("__both", F.lit(0))
+    return met.select(*keys, "y", "x", got.alias("sum"))

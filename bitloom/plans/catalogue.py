@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import change, codecs, entropy, ppm, reports, runs
+from ..operators import change, codecs, entropy, ppm, ranges, reports, runs
 from ..sources import views
 from .sql import ORACLE_SQL
 
@@ -85,8 +85,7 @@ def runs_scanline_v0(spark, d):
 @query
 def token_offsets(spark, d):
     lens = runs.scanline(pixels(spark, d), IMAGE, (F.col("label") > 1).cast("int")).groupBy("image").agg((2 * F.count("*") + 4).alias("token_len"))
-    before = Window.orderBy("image").rowsBetween(Window.unboundedPreceding, -1)  # one row for each image
-    return lens.select("image", "token_len", F.coalesce(F.sum("token_len").over(before), F.lit(0)).cast("long").alias("token_offset"))
+    return ranges.running(lens, "image", {"upto": "token_len"}).select("image", "token_len", (F.col("upto") - F.col("token_len")).cast("long").alias("token_offset"))
 
 
 @query
@@ -109,9 +108,8 @@ def cache_manifest(spark, d):
 
 def _located(spark, d) -> DataFrame:
     heights = sizes(spark, d).select("image", "h")
-    order = Window.orderBy("image")  # one row for each image
-    ranges = heights.withColumn("last", F.sum("h").over(order)).withColumn("first", F.col("last") - F.col("h"))
-    return ranges.withColumn("row_idx", F.explode(F.expr("sequence(first, last - 1)"))).select("row_idx", "image", (F.col("row_idx") - F.col("first")).alias("y"))
+    spans = ranges.running(heights, "image", {"last": "h"}).withColumn("first", F.col("last") - F.col("h"))
+    return spans.withColumn("row_idx", F.explode(F.expr("sequence(first, last - 1)"))).select("row_idx", "image", (F.col("row_idx") - F.col("first")).alias("y"))
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 PAIR_COLUMNS = ("pair_id", "sample_id", "prev_path", "cur_path", "t_prev", "t_cur", "split")
 
 
@@ -41,5 +43,5 @@ def random_split(ids: DataFrame, key: str, share: float, seed: int, least: int =
     distinct = ids.select(key).distinct()
     n = distinct.count()
     val = max(min(round(n * share), n - leave), min(least, n - leave), 0)
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))  # one row for each facade
-    return distinct.select(key, F.when(rank <= val, "val").otherwise("train").alias("split"))
+    placed = numbered(distinct.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), "__hash", "__rank", (key,))
+    return placed.select(key, F.when(F.col("__rank") <= val, "val").otherwise("train").alias("split"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import carried
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,6 +68,5 @@ def byte_contexts(documents: DataFrame) -> DataFrame:
     code = lambda c: F.conv(F.hex(c), 16, 10).cast("int")
     size = F.octet_length("e")
     ends = texts.select("doc_id", code(F.substring("e", -1, 1)).alias("e1"), F.when(size > 1, code(F.substring("e", F.greatest(size - 1, F.lit(1)), F.lit(1)))).alias("e2"))
-    order = Window.orderBy("doc_id")
-    ends = ends.select("doc_id", F.lag("e1").over(order).alias("a1"), F.coalesce(F.lag("e2").over(order), F.lag("e1", 2).over(order)).alias("a2"))
+    ends = carried(ends, "doc_id", {"a1": ("e1", 1), "b2": ("e2", 1), "b1": ("e1", 2)}).select("doc_id", "a1", F.coalesce("b2", "b1").alias("a2"))
     return texts.join(ends, "doc_id").select("doc_id", "e", "a1", "a2").mapInArrow(_count_contexts, "doc_id long, b2 long, b1 long, b long, c long")
