@@ -89,10 +89,12 @@ def heat_grid(tile_rows: DataFrame, meta: DataFrame, keys: list[str], place: str
     meta: (keys, gh, gw). Tiles of a key without meta are an error."""
     last = Window.partitionBy(*keys, "gy", "gx").orderBy(F.desc(place))
     once = tile_rows.withColumn("__r", F.row_number().over(last)).filter("__r = 1").drop("__r")
-    known = once.join(meta, keys, "left").withColumn("gh", F.when(F.col("gh").isNotNull(), F.col("gh")).otherwise(F.raise_error(F.lit("no meta of a tile")).cast("long")))
-    inside = known.filter((F.col("gy") < F.col("gh")) & (F.col("gx") < F.col("gw"))).select(*keys, "gy", "gx", F.col("heat").alias("__heat"))
+    stray = once.join(meta, keys, "left_anti").agg(F.count("*").alias("__stray"))
+    known = once.join(meta, keys).select(*keys, "gy", "gx", "gh", "gw", F.col("heat").alias("__heat"))
+    inside = known.filter((F.col("gy") < F.col("gh")) & (F.col("gx") < F.col("gw"))).drop("gh", "gw")
     cells = meta.filter("gh > 0 and gw > 0").select(*keys, "gw", F.explode(F.expr("sequence(0L, cast(gh as long) - 1)")).alias("gy")).select(*keys, "gy", F.explode(F.expr("sequence(0L, cast(gw as long) - 1)")).alias("gx"))
-    return cells.join(inside, [*keys, "gy", "gx"], "left").select(*keys, "gy", "gx", F.coalesce("__heat", F.lit(0.0)).alias("heat"))
+    checked = F.when(F.col("__stray") == 0, F.coalesce("__heat", F.lit(0.0))).otherwise(F.raise_error(F.lit("no meta of a tile")).cast("double"))
+    return cells.join(inside, [*keys, "gy", "gx"], "left").crossJoin(F.broadcast(stray)).select(*keys, "gy", "gx", checked.alias("heat"))  # one row
 
 
 def settings_grid(rows: DataFrame, streams: list[str], codecs: list[str], levels: list[int]) -> DataFrame:

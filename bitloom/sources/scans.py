@@ -172,7 +172,7 @@ def heat_maps(spark: SparkSession, root: str) -> DataFrame:
 def token_streams(spark: SparkSession, root: str) -> DataFrame:
     """(name, n_bytes, data, total_pixels, total_tokens) of *.int32.bin files, with the totals of <name>.stats.json where there is one."""
     files = _binary(spark, root, "*.int32.bin").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.int32\.bin$", "").alias("name"), F.col("length").alias("n_bytes"), F.col("content").alias("data"))
-    stats = _binary(spark, root, "*.stats.json").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.stats\.json$", "").alias("name"), F.from_json(F.decode("content", F.lit("UTF-8")), "total_pixels long, total_tokens long").alias("s"))
+    stats = _binary(spark, root, "*.stats.json").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.stats\.json$", "").alias("name"), F.from_json(F.decode("content", "UTF-8"), "total_pixels long, total_tokens long").alias("s"))
     return files.join(stats.select("name", "s.*"), "name", "left")
 
 
