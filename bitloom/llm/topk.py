@@ -5,8 +5,8 @@ term (a dimension and the sign of the query's weight there), the largest value a
 weighted sum of a block's maxima bounds every member's score. A query visits the blocks in descending order of that
 bound, scores a block through its forward index, and stops at the first block whose bound lies below its k-th score.
 
-Runs of blocks are gathered into segments and queries into chunks, both bounded in rows and in bytes. First each chunk meets the one
-segment at its own place in id order; the k-th scores found there go with the queries. Then the maxima of whole segments, gathered into packs,
+Runs of blocks are gathered into segments and queries into chunks, both bounded in rows and in bytes. First each chunk meets the
+segments at its own place in id order; the k-th scores found there go with the queries. Then the maxima of whole segments, gathered into packs,
 bound every query's scores in every segment, and a chunk is sent only to segments in which some query's bound reaches its k-th score, with those
 queries only. The k best of each meeting are merged by rank. No task or driver holds more than one segment (or pack) and one chunk at a time.
 
@@ -160,7 +160,9 @@ _FOUND_DDL = "query_id long, vec_id long, score string, scored long"
 
 
 def _least(row: dict, mark: str) -> np.ndarray:
-    return np.frombuffer(row["least"], np.float64) if row.get("least") else np.full(row[f"{mark}n"], -np.inf)
+    """The highest of the k-th scores found so far."""
+    found = [np.frombuffer(x, np.float64) for x in row.get("least") or []]
+    return np.max(found, axis=0) if found else np.full(row[f"{mark}n"], -np.inf)
 
 
 def searcher(size: int, k: int):
@@ -223,12 +225,12 @@ def meetings(vectors: DataFrame, is_query, work: Workspace, k: int, key: str, va
     cut = lambda df, size, name: work.save(numbered(df.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(packer(size), _SHAPE), name), f"{name}s")
     segments, asked = cut(rows, segment, "segment"), cut(rows.filter(is_query), chunk, "chunk")
     queries = asked.drop("upper", "lower").select("chunk", *(F.col(c).alias(f"q_{c}") for c in asked.columns if c not in ("chunk", "upper", "lower")))
-    # the ranges of ids are cut anew for each table, so a chunk's own segment is the last one that begins no later
     first = lambda ids: F.conv(F.hex(F.reverse(F.substring(ids, 1, 8))), 16, -10).cast("long")
     begins = segments.select("segment", first(F.col("ids")).alias("id"), F.lit(None).cast("long").alias("chunk")).unionByName(asked.select(F.lit(None).cast("long").alias("segment"), first(F.col("ids")).alias("id"), "chunk"))
     home = work.save(homes(begins), "homes")
     own = queries.join(home, "chunk").join(segments.drop("upper", "lower"), "segment")
-    least = work.save(own.mapInArrow(thresholds(block, k), "chunk long, least binary"), "least")
+    # a chunk has a few home segments: about as many as it is wider in ids
+    least = work.save(own.mapInArrow(thresholds(block, k), "chunk long, least binary").groupBy("chunk").agg(F.collect_list("least").alias("least")), "least")
     packs = work.save(segments.select("segment", "upper", "lower").withColumn("pack", F.xxhash64("segment")), "maxima")
     held = packs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("upper") + F.length("lower")), F.lit(0)).alias("bytes")).first()
     seats = max(1, -(-held.n // PACK), -(-held.bytes // BYTES))
@@ -242,17 +244,20 @@ def meetings(vectors: DataFrame, is_query, work: Workspace, k: int, key: str, va
 
 
 def homes(begins: DataFrame) -> DataFrame:
-    """(chunk, segment): the last segment that begins no later than the chunk; begins: (segment, id, chunk), one of both null.
+    """(chunk, segment) that lie side by side in id order; begins: (segment, id, chunk), one of both null.
 
-    One narrow row for each segment and chunk, thousands of vectors each; by ranges, so that no task sorts them all."""
+    A chunk's first segment is the last that begins no later; the others begin in it, up to where the next chunk does. One narrow row for each
+    segment and chunk, thousands of vectors each; by ranges, so that no task sorts them all."""
     parts = begins.repartitionByRange("id", F.col("chunk").isNotNull()).withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy("id", F.col("chunk").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = parts.withColumn("last", F.last("segment", True).over(within))
-    before = filled.groupBy("part").agg(F.max_by("segment", F.when(F.col("segment").isNotNull(), F.col("id"))).alias("ends"))
-    carried = before.withColumn("before", F.last("ends", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
-    lowest = begins.agg(F.min("segment").alias("lowest"))
-    named = filled.filter("chunk is not null").join(F.broadcast(carried), "part").join(F.broadcast(lowest))
-    return named.select("chunk", F.coalesce("last", "before", "lowest").alias("segment"))
+    sides = ("segment", "chunk")
+    filled = parts.withColumns({f"last_{c}": F.last(c, True).over(within) for c in sides})
+    before = filled.groupBy("part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("id", c))).alias(f"ends_{c}") for c in sides))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    carried = before.select("part", *(F.last(f"ends_{c}", True).over(upto).alias(f"before_{c}") for c in sides))
+    met = filled.join(F.broadcast(carried), "part")
+    side = lambda c, other: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.coalesce(f"last_{c}", f"before_{c}")).alias(c)
+    return met.select(side("chunk", "segment"), side("segment", "chunk")).filter("chunk is not null and segment is not null").distinct()
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", value: str = "embedding", scale: float = 256.0, block: int = 64, segment: int = 8192, chunk: int = 1024) -> DataFrame:
