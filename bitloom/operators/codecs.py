@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import tiles
+
 _BITS = 32
 _TOP, _HALF, _QUARTER = (1 << _BITS) - 1, 1 << (_BITS - 1), 1 << (_BITS - 2)
 TOTAL = 1 << 16
@@ -77,6 +79,15 @@ def residual_sizes(residuals: DataFrame, keys: list[str], codecs: tuple[str, ...
     return both.withColumns({"bits_sum": total, "bbp": total / (F.col("h") * F.col("w"))})
 
 
+def tile_surprise(residuals: DataFrame, keys: list[str], tile: int, stride: int, h: Column, w: Column, codec: str, level: int) -> DataFrame:
+    """(keys, gy, gx, classic_bits): the compressed size of each tile's residual, both streams, on the floor grid.
+
+    Equal tiles, such as those without change, are compressed once."""
+    covered = tiles(residuals, tile, stride, h, w).withColumns({"y": F.col("y") - F.col("gy") * stride, "x": F.col("x") - F.col("gx") * stride})
+    sized = residual_sizes(covered, [*keys, "gy", "gx"], (codec,), (level,))
+    return sized.select(*keys, "gy", "gx", F.col("bits_sum").alias("classic_bits"))
+
+
 def packed_bits_size(n: Column) -> Column:
     return F.ceil(n / 8).cast("long")
 

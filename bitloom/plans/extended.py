@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import manifests, reports, runs, streams
+from ..operators import codecs, manifests, reports, runs, streams
 from ..sources import views
+from . import catalogue
 from .catalogue import IMAGE, KEY, image_runs, pixels, sizes, six
 from .sql import ABOVE, LI, PX, RUNS, SCAN, SIZES
 
@@ -374,3 +375,18 @@ def same_folder_resolution(spark, d):
     wanted = views.read(spark, d, "customer").select(F.col("c_custkey").alias("stem"))
     files = views.read(spark, d, "orders").select(F.col("o_custkey").alias("stem"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"), (F.col("o_orderkey") % 3 + 1).alias("priority"))
     return reports.resolved(wanted, files, "stem").select("stem", "path")
+
+
+# --- codecs, which SQL doesn't have
+
+
+def tile_classic_bits(spark, d):
+    """Compressed bits of each tile's residual."""
+    from pyspark.sql import Window
+
+    rows = catalogue._residuals(spark, d)
+    width = F.max(F.col("x") + 1).over(Window.partitionBy(*KEY, "y"))
+    return codecs.tile_surprise(rows.withColumn("w", width), KEY, 8, 8, F.lit(10), F.col("w"), "zlib", 6)
+
+
+QUERIES["tile_classic_bits"] = tile_classic_bits

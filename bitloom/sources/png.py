@@ -107,22 +107,22 @@ def _rows(mode: str):
                     if mode == "strict":
                         raise
                     mask, error = None, str(e)
-                out.append((path, *(mask.shape[:2] if mask is not None else (None, None)), str(mask.dtype) if mask is not None else None, mask.astype(np.int64).reshape(-1).tolist() if mask is not None else None, error))
-            yield pd.DataFrame(out, columns=["path", "h", "w", "dtype", "labels", "error"]).astype({"h": "Int32", "w": "Int32"})
+                out.append((path, *(mask.shape[:2] if mask is not None else (None, None)), (mask.shape[2] if mask.ndim == 3 else 1) if mask is not None else None, str(mask.dtype) if mask is not None else None, mask.astype(np.int64).reshape(-1).tolist() if mask is not None else None, error))
+            yield pd.DataFrame(out, columns=["path", "h", "w", "channels", "dtype", "labels", "error"]).astype({"h": "Int32", "w": "Int32", "channels": "Int32"})
 
     return rows
 
 
 def scan(spark: SparkSession, root: str, subdir: str = "warped_masks", mode: str = "permissive") -> DataFrame:
-    """(facade_id, name, path, h, w, dtype, labels, error) of <root>/<facade_id>/<subdir>/*.png."""
+    """(facade_id, name, path, h, w, channels, dtype, labels, error) of <root>/<facade_id>/<subdir>/*.png."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(f"{root}/*/{subdir}").select("path", "content")
     parts = F.split("path", "/")
-    return files.mapInPandas(_rows(mode), "path string, h int, w int, dtype string, labels array<long>, error string").select(F.get(parts, F.size(parts) - 3).alias("facade_id"), F.get(parts, F.size(parts) - 1).alias("name"), "path", "h", "w", "dtype", "labels", "error")
+    return files.mapInPandas(_rows(mode), "path string, h int, w int, channels int, dtype string, labels array<long>, error string").select(F.get(parts, F.size(parts) - 3).alias("facade_id"), F.get(parts, F.size(parts) - 1).alias("name"), "path", "h", "w", "channels", "dtype", "labels", "error")
 
 
 def pixels(scanned: DataFrame) -> DataFrame:
-    """(facade_id, name, y, x, label) of readable masks."""
-    rows = scanned.filter("error is null").select("facade_id", "name", "w", F.posexplode("labels").alias("p", "label"))
+    """(facade_id, name, y, x, label) of readable masks of one channel."""
+    rows = scanned.filter("error is null and channels = 1").select("facade_id", "name", "w", F.posexplode("labels").alias("p", "label"))
     return rows.select("facade_id", "name", F.expr("cast(p div w as long)").alias("y"), (F.col("p") % F.col("w")).cast("long").alias("x"), "label")
 
 
@@ -132,3 +132,8 @@ def class_ids(pixel_rows: DataFrame, colours: DataFrame, unknown: str = "error")
     met = pixel_rows.join(colours, ["r", "g", "b"], "left").crossJoin(F.broadcast(last))  # one row
     instead = {"error": F.raise_error(F.lit("unknown RGB")).cast("long"), "map0": F.lit(0).cast("long"), "map_last": F.col("last").cast("long")}[unknown]
     return met.withColumn("class_id", F.when(F.col("class_id").isNotNull(), F.col("class_id").cast("long")).otherwise(instead)).drop("last")
+
+
+def unknown_colours(pixel_rows: DataFrame, colours: DataFrame, most: int = 10) -> DataFrame:
+    """(r, g, b, n) of the colours that no class has, the most frequent first."""
+    return pixel_rows.join(colours, ["r", "g", "b"], "left_anti").groupBy("r", "g", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "r", "g", "b").limit(most)

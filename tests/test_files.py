@@ -142,3 +142,35 @@ def test_heat_of_a_pair_without_meta_is_an_error(spark):
     assert sorted(map(tuple, manifests.heat_grid(tiles, meta, ["pair"], "place").collect())) == [(1, 0, 0, 2.0), (1, 0, 1, 0.0)]
     with pytest.raises(Exception, match="no meta"):
         manifests.heat_grid(tiles.withColumn("pair", F.lit(2).cast("long")), meta, ["pair"], "place").collect()
+
+
+def test_raw_masks_keep_their_channels(spark, tmp_path):
+    colour = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    put(tmp_path / "f" / "warped_masks" / "c.png", png.encode(colour))
+    r = png.scan(spark, str(tmp_path), mode="raw").first()
+    assert (r.h, r.w, r.channels, r.labels) == (2, 2, 3, list(range(12)))
+    assert png.scan(spark, str(tmp_path)).first().error == "channels differ"
+
+
+def test_unknown_colours_by_count(spark):
+    rows = spark.createDataFrame([(1, 1, 1)] * 3 + [(2, 2, 2)] + [(9, 9, 9)] * 5, "r int, g int, b int")
+    known = spark.createDataFrame([(9, 9, 9, 0)], "r int, g int, b int, class_id long")
+    assert [tuple(r) for r in png.unknown_colours(rows, known).collect()] == [(1, 1, 1, 3), (2, 2, 2, 1)]
+
+
+def test_tile_surprise_equals_direct_compression(spark):
+    import zlib
+
+    from bitloom.operators import change, codecs
+
+    draw = np.random.default_rng(8)
+    before, after = draw.integers(0, 3, (2, 8, 12))
+    after[:4, :4] = before[:4, :4]
+    frame = lambda a: spark.createDataFrame([(1, y, x, int(v)) for (y, x), v in np.ndenumerate(a)], "image long, y long, x long, label long")
+    got = codecs.tile_surprise(change.residual(frame(before), frame(after), ["image"]), ["image"], 4, 2, F.lit(8), F.lit(12), "zlib", 6).collect()
+    assert len(got) == 3 * 5
+    for r in got:
+        at = np.s_[r.gy * 2 : r.gy * 2 + 4, r.gx * 2 : r.gx * 2 + 4]
+        c = before[at] != after[at]
+        want = len(zlib.compress(np.packbits(c.reshape(-1), bitorder="little").tobytes(), 6)) + len(zlib.compress(np.where(c, after[at], 0).astype(np.uint8).tobytes(), 6))
+        assert r.classic_bits == 8 * want
