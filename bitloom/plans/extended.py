@@ -109,7 +109,7 @@ def rectangle_sums(spark, d):
     return runs.rectangle(runs.integral(pixels(spark, d), IMAGE), IMAGE, 3, 5)
 
 
-@query("SELECT vec_id, 1 + vec_id % 40 AS room, vec_id % 12 AS target, round(CASE WHEN vec_id % 12 < 1 THEN 0 ELSE -log2(exp(CAST(embedding[least(vec_id % 12, 1 + vec_id % 40)] AS DOUBLE)) / list_sum(list_transform(embedding[1:1 + vec_id % 40], lambda x: exp(CAST(x AS DOUBLE))))) END, 6) AS bits FROM embeddings")
+@query("SELECT vec_id, 1 + vec_id % 40 AS room, vec_id % 12 AS target, round(CASE WHEN vec_id % 12 < 1 THEN 0 ELSE -log2(exp(CAST(embedding[least(vec_id % 12, 1 + vec_id % 40)] AS DOUBLE)) / list_sum(list_transform(embedding[1:1 + vec_id % 40], lambda x: exp(CAST(x AS DOUBLE))))) END, 6) + 0 AS bits FROM embeddings")
 def length_nll(spark, d):
     rows = views.read(spark, d, "embeddings").select("vec_id", (1 + F.col("vec_id") % 40).alias("room"), (F.col("vec_id") % 12).alias("target"), F.transform("embedding", lambda x: x.cast("double")).alias("s"))
     # a target beyond the room is the last length of it
