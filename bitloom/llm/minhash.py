@@ -9,7 +9,8 @@
    the full sets, unless links found before connect the two already; it returns the components of its members. Blocks of a
    family share no member, so these need no further joining.
 5. A family of several blocks goes on with its buckets that still span several components: their documents outside the family's
-   largest component are compared, again block by block, with all documents in such buckets. So every pair that shares a
+   largest component are compared, again block by block, with all documents in such buckets; or, where that ships more (many
+   texts that are chained but unlike), each bucket that fits a block is compared by itself. So every pair that shares a
    bucket is compared or connected already. What these blocks join are components, by alternating stars again.
 
 Two documents at similarity 0.8 share no band with a probability of (1 - 0.8**7)**56 = 2e-6, and the signature
@@ -259,6 +260,53 @@ def _place(blocks, salt: int):
     return F.pmod(F.xxhash64("node", F.lit(salt)), blocks)
 
 
+def _cell(part, chunk, is_left):
+    return F.struct(part.cast("long").alias("part"), chunk.cast("long").alias("chunk"), F.lit(is_left).alias("is_left"))
+
+
+def _sided(live: DataFrame) -> DataFrame:
+    """live with outside (of the family's largest component), and the numbers of blocks that hold the family's documents outside (parts) and all (chunks)."""
+    main = live.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    sided = live.join(main, "family").withColumn("outside", F.col("component") != F.col("main"))
+    outside = lambda x: F.sum(F.when(F.col("outside"), x))
+    sizes = sided.groupBy("family").agg(_blocks(outside(F.lit(1)), outside(F.col("weight"))).alias("parts"), _blocks(F.count("*"), F.sum("weight")).alias("chunks"))
+    return sided.join(sizes, "family")
+
+
+def _grid(sided: DataFrame) -> DataFrame:
+    """(node, family, component, cells): the documents outside meet all of the family's, block by block."""
+    every = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), of)
+    lefts = F.when(F.col("outside"), every(F.col("chunks"), lambda c: _cell(_place(F.col("parts"), 2), c, True)))
+    rights = every(F.col("parts"), lambda p: _cell(p, _place(F.col("chunks"), 3), False))
+    cells = F.concat(F.coalesce(lefts, F.filter(rights, lambda _: F.lit(False))), rights)
+    return sided.select("node", "family", "component", cells.alias("cells"))
+
+
+def _across(documents: DataFrame, members: DataFrame, named: DataFrame, settings: Settings, work: Workspace) -> DataFrame:
+    """Links (hub, node) between components of families of several blocks, named: (node, family, weight, component).
+
+    Only buckets that span several components count. A family's grid ships its documents once for each block that they meet; where
+    that is more than once for each of their buckets, the buckets that fit a block are compared each by itself, and the grid
+    is left to the documents of larger ones. So texts that are merely chained cost their buckets, not the square of the family."""
+    held = members.select("bucket", "node").join(named, "node")
+    kinds = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), _blocks(F.count("*"), F.sum("weight")).alias("blocks"))
+    open_ = kinds.filter("low <> high").select("bucket", (F.col("blocks") > 1).alias("wide"))
+    held = work.save(held.join(open_, "bucket"), "open")
+    documents_of = lambda rows: rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("family", "weight", "component")))
+    sided = work.save(_sided(documents_of(held)), "live")
+    shipped = F.col("weight") * (F.when(F.col("outside"), F.col("chunks")).otherwise(0) + F.col("parts"))
+    spent = sided.groupBy("family").agg(F.sum(shipped).alias("by_grid"))
+    spread = held.groupBy("family").agg(F.sum("weight").alias("by_bucket"))
+    dense = spent.join(spread, "family").filter("by_grid <= by_bucket").select("family")
+    links = compare(documents, _grid(sided.join(dense, "family", "left_semi")), settings, work, "across", False)
+    loose = work.save(held.join(dense, "family", "left_anti"), "loose")
+    if loose.isEmpty():
+        return links
+    each = loose.filter("not wide").groupBy("node", "family", "component").agg(F.collect_set(_cell(F.col("bucket"), F.lit(0), False)).alias("cells"))
+    links = links.unionByName(compare(documents, each, settings, work, "buckets", True))
+    return links.unionByName(compare(documents, _grid(_sided(documents_of(loose.filter("wide")))), settings, work, "wide", False))
+
+
 def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     spark = prepare(documents.sparkSession)
@@ -275,25 +323,13 @@ def cluster(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     blocks = family.groupBy("family").agg(_blocks(F.count("*"), F.sum("weight")).alias("blocks"))
     first = family.join(blocks, "family").select("node", "family", "weight", "blocks", _place(F.col("blocks"), 1).alias("part"))
     first = work.save(first, "first")
-    cell = lambda part, chunk, is_left: F.struct(part.cast("long").alias("part"), chunk.cast("long").alias("chunk"), F.lit(is_left).alias("is_left"))
-    found = compare(documents, first.select("node", "family", F.col("node").alias("component"), F.array(cell(F.col("part"), F.lit(0), False)).alias("cells")), settings, work, "within", True)
+    found = compare(documents, first.select("node", "family", F.col("node").alias("component"), F.array(_cell(F.col("part"), F.lit(0), False)).alias("cells")), settings, work, "within", True)
     component = found.select("node", F.col("hub").alias("component"))
     of_digest = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     large = first.filter("blocks > 1").select("node", "family", "weight")
     if not large.isEmpty():
         named = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        held = members.select("bucket", "node").join(named.select("node", "component"), "node")
-        open_ = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        live = work.save(named.join(held.join(open_, "bucket", "left_semi").select("node").distinct(), "node", "left_semi"), "live")
-        main = live.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        sided = live.join(main, "family").withColumn("outside", F.col("component") != F.col("main"))
-        outside = lambda x: F.sum(F.when(F.col("outside"), x))
-        grid = sided.groupBy("family").agg(_blocks(outside(F.lit(1)), outside(F.col("weight"))).alias("parts"), _blocks(F.count("*"), F.sum("weight")).alias("chunks"))
-        every = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), of)
-        lefts = F.when(F.col("outside"), every(F.col("chunks"), lambda c: cell(_place(F.col("parts"), 2), c, True)))
-        rights = every(F.col("parts"), lambda p: cell(p, _place(F.col("chunks"), 3), False))
-        across = sided.join(grid, "family").select("node", "family", "component", F.concat(F.coalesce(lefts, F.filter(rights, lambda _: F.lit(False))), rights).alias("cells"))
-        joined = components(compare(documents, across, settings, work, "across", False), work, "joined")
+        joined = components(_across(documents, members, named, settings, work), work, "joined")
         of_digest = of_digest.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
     of_digest = work.save(of_digest, "result")
     work.close(keep=("sketches", "result"))

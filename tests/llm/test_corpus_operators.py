@@ -49,6 +49,36 @@ def test_minhash_links_like_brute_force(spark, monkeypatch, block_rows):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), find[i], find[i] == i) for i in sets}
 
 
+def test_minhash_of_a_long_chain_goes_by_buckets(spark, monkeypatch):
+    """Texts that share much with the next one only: a family of many blocks, whose grid would ship more than its buckets."""
+    monkeypatch.setattr(minhash, "_BLOCK_ROWS", 3)
+    names = []
+    compare = minhash.compare
+    monkeypatch.setattr(minhash, "compare", lambda *a: names.append(a[4]) or compare(*a))
+    stream = [f"t{i}" for i in range(2400)]
+    texts = [" ".join(stream[at : at + 100]) for at in range(0, 2280, 12)]  # neighbours at 0.78 in shingles of four, below the limit
+    texts += [texts[i] + " end" for i in range(0, len(texts), 9)]
+    texts += [" ".join(["one"] * 3 + stream[:100] + [f"z{i}"]) for i in range(12)]  # a bucket wider than a block
+    rows = list(enumerate(texts))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    find = {i: i for i in sets}
+
+    def top(x):
+        while find[x] != x:
+            x = find[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                one, two = sorted((top(a), top(b)))
+                find[two] = one
+    got = minhash.cluster(documents(spark, rows), minhash.Settings(words=4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+    assert names == ["within", "across", "buckets", "wide"]
+
+
 def test_minhash_of_an_empty_table(spark):
     assert minhash.cluster(documents(spark, []).limit(0)).count() == 0
 
