@@ -5,13 +5,15 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import tiles
+from .runs import delta_left, runs, tiles
+from .streams import run_bytes
 
 _BITS = 32
 _TOP, _HALF, _QUARTER = (1 << _BITS) - 1, 1 << (_BITS - 1), 1 << (_BITS - 2)
@@ -79,6 +81,54 @@ def residual_sizes(residuals: DataFrame, keys: list[str], codecs: tuple[str, ...
     return both.withColumns({"bits_sum": total, "bbp": total / (F.col("h") * F.col("w"))})
 
 
+def mask_streams(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, h, w, stream, data): labels of one byte each (raw), their differences to the left (delta_left), and runs as value and length (rle_row)."""
+    raw = raster_bytes(pixels, keys)
+    delta = raster_bytes(delta_left(pixels, keys).drop("label").withColumnRenamed("delta", "label"), keys).select(*keys, "data")
+    shapes = raw.select(*keys, "h", "w")
+    named = lambda rows, name: rows.select(*keys, "h", "w", F.lit(name).alias("stream"), "data")
+    made = [named(shapes.join(delta, keys), "delta_left"), named(shapes.join(run_bytes(runs(pixels, keys), keys), keys), "rle_row")]
+    return reduce(DataFrame.unionByName, made, named(raw, "raw"))
+
+
+def _png_sizes(frames):
+    from ..sources.png import encode
+
+    for frame in frames:
+        sizes = [len(encode(np.frombuffer(d, np.uint8).reshape(h, w))) for d, h, w in zip(frame["data"], frame["h"], frame["w"], strict=True)]
+        yield frame.drop(columns="data").assign(bytes_in=sizes)
+
+
+def mask_benchmark(pixels: DataFrame, keys: list[str], codecs: tuple[str, ...], levels: tuple[int, ...]) -> DataFrame:
+    """(keys, h, w, stream, codec, level, bytes_in, bytes_out, bbp) of every stream, codec and level, and the size as a PNG file (png_file, no level)."""
+    sized = codec_sizes(mask_streams(pixels, keys), codecs, levels)
+    raw = raster_bytes(pixels, keys)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema if f.name != "data")
+    files = raw.mapInPandas(_png_sizes, f"{kinds}, bytes_in long")
+    files = files.withColumns({"stream": F.lit("png_file"), "codec": F.lit("png"), "level": F.lit(None).cast("int"), "bytes_out": F.col("bytes_in")})
+    return sized.unionByName(files).withColumn("bbp", 8 * F.col("bytes_out") / (F.col("h") * F.col("w")))
+
+
+def tile_benchmark(pixels: DataFrame, keys: list[str], tile: int, codecs: tuple[str, ...], levels: tuple[int, ...]) -> DataFrame:
+    """(keys, stream, codec, level, tiles, bytes_in, bytes_out, bbp, bbp_mean, bbp_p50, bbp_p90): each tile of the ceil grid compressed by itself; bbp is of all pixels."""
+    cut = pixels.withColumns({"gy": F.expr(f"y div {tile}"), "gx": F.expr(f"x div {tile}"), "y": F.col("y") % tile, "x": F.col("x") % tile})
+    sized = codec_sizes(mask_streams(cut, [*keys, "gy", "gx"]), codecs, levels)
+    area, own = F.col("h") * F.col("w"), 8 * F.col("bytes_out") / (F.col("h") * F.col("w"))
+    share = lambda q: F.percentile(own, F.lit(q))
+    return sized.groupBy(*keys, "stream", "codec", "level").agg(
+        F.count("*").alias("tiles"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"), (8 * F.sum("bytes_out") / F.sum(area)).alias("bbp"),
+        F.avg(own).alias("bbp_mean"), share(0.5).alias("bbp_p50"), share(0.9).alias("bbp_p90"),
+    )
+
+
+def stream_baselines(streams: DataFrame, lzma_presets: tuple[int, ...] = (6, 9), zstd_levels: tuple[int, ...] = (3, 10, 19)) -> DataFrame:
+    """(dataset, method, level, input_bytes, compressed_bytes, bits_per_pixel, bits_per_token) of token streams (dataset, data, pixels, tokens); bits are null where a total is null."""
+    parts = [codec_sizes(streams, (name,), levels) for name, levels in (("lzma", lzma_presets), ("zstd", zstd_levels)) if levels]
+    sized = reduce(DataFrame.unionByName, parts)
+    per = lambda c: (8 * F.col("bytes_out") / F.when(F.col(c) > 0, F.col(c))).alias(f"bits_per_{c[:-1]}")
+    return sized.select("dataset", F.col("codec").alias("method"), "level", F.col("bytes_in").alias("input_bytes"), F.col("bytes_out").alias("compressed_bytes"), per("pixels"), per("tokens"))
+
+
 def tile_surprise(residuals: DataFrame, keys: list[str], tile: int, stride: int, h: Column, w: Column, codec: str, level: int) -> DataFrame:
     """(keys, gy, gx, classic_bits): the compressed size of each tile's residual, both streams, on the floor grid.
 

@@ -20,6 +20,12 @@ def varint_hex(n: Column) -> Column:
     return F.concat(*(digit(k) for k in range(5)))
 
 
+def int32_bytes(numbers: Column) -> Column:
+    """An array of whole numbers as little-endian signed 32-bit numbers, one after the other."""
+    one = lambda x: F.concat(*(_byte(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(255)) for k in range(4)))
+    return F.unhex(F.array_join(F.transform(numbers, one), ""))
+
+
 def run_bytes(run_rows: DataFrame, keys: list[str], itemsize: int = 1) -> DataFrame:
     """(keys, data): value (little-endian) and length (base 128) of each run, in row-major order."""
     value = F.concat(*(_byte(F.shiftright(F.col("label").cast("long"), 8 * k).bitwiseAND(255)) for k in range(itemsize)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import codecs, manifests, reports, runs, streams
+from ..operators import codecs, manifests, reports, run_codec, runs, streams
 from ..sources import views
 from . import catalogue
 from .catalogue import IMAGE, KEY, image_runs, pixels, sizes, six
@@ -390,3 +390,43 @@ def tile_classic_bits(spark, d):
 
 
 QUERIES["tile_classic_bits"] = tile_classic_bits
+
+
+def _coded(spark, d) -> DataFrame:
+    rows = image_runs(spark, d)
+    return run_codec.coded(rows, run_codec.fitted(rows.filter(catalogue.is_train()), rows))
+
+
+def run_codec_files(spark, d):
+    """Each image's coded runs under fixed and under growing counts: sizes, the ideal, and whether decoding gives the image again."""
+    return manifests.coder_overheads(_coded(spark, d)).withColumns(six("label_bits", "ideal_bits", "overhead_pct", "header_pct"))
+
+
+def run_codec_matrix(spark, d):
+    """Medians and 90th percentiles of ideal and actual bits a pixel by mode and split."""
+    rows = manifests.coder_overheads(_coded(spark, d)).withColumn("split", F.when(catalogue.is_train(), "train").otherwise("val"))
+    area = F.col("h") * F.col("w")
+    shares = {"ideal_bbp": F.col("ideal_bits") / area, "length_bbp": (F.col("ideal_bits") - F.col("label_bits")) / area, "actual_bbp": F.col("bits_payload") / area, "overhead": F.col("overhead_pct"), "header": F.col("header_pct")}
+    got = rows.groupBy("mode", "split").agg(F.count("*").alias("n"), *(F.percentile(x, F.lit(q)).alias(f"{c}_{tag}") for c, x in shares.items() for tag, q in (("p50", 0.5), ("p90", 0.9))))
+    return got.withColumns(six(*(c for c in got.columns if c.endswith(("_p50", "_p90")))))
+
+
+def mask_benchmark(spark, d):
+    return codecs.mask_benchmark(pixels(spark, d), IMAGE, ("zlib", "lzma", "zstd"), (1, 6, 9)).withColumns(six("bbp"))
+
+
+def mask_benchmark_tiles(spark, d):
+    got = codecs.tile_benchmark(pixels(spark, d), IMAGE, 16, ("zlib", "zstd"), (6,))
+    return got.withColumns(six("bbp", "bbp_mean", "bbp_p50", "bbp_p90"))
+
+
+def stream_baselines(spark, d):
+    """Each image's token stream as 32-bit numbers, by lzma presets and zstd levels."""
+    lines = runs.scanline(pixels(spark, d), IMAGE, F.col("label"))
+    shapes = lines.groupBy("image").agg((F.max("h") * F.max("w")).alias("pixels"))
+    tokens = runs.contract_tokens(lines, IMAGE).join(shapes, "image")
+    named = tokens.select(F.col("image").cast("string").alias("dataset"), streams.int32_bytes(F.col("tokens")).alias("data"), "pixels", F.size("tokens").cast("long").alias("tokens"))
+    return codecs.stream_baselines(named).withColumns(six("bits_per_pixel", "bits_per_token"))
+
+
+QUERIES |= {f.__name__: f for f in (run_codec_files, run_codec_matrix, mask_benchmark, mask_benchmark_tiles, stream_baselines)}
