@@ -50,16 +50,13 @@ def codec_sizes(rows: DataFrame, codecs: tuple[str, ...] = ("zlib", "bz2", "lzma
     return named.select(*keys, "digest", F.octet_length("data").cast("long").alias("bytes_in")).join(sized, "digest").drop("digest")
 
 
-def _joined(frames):
-    for frame in frames:
-        yield frame.assign(data=[np.asarray(x, np.int64).astype(np.uint8).tobytes() for x in frame["labels"]]).drop(columns="labels")
-
-
 def raster_bytes(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, h, w, data): labels of each image in row-major order, one byte each."""
-    rows = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "label"))), lambda p: p["label"]).alias("labels"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "labels")
-    return rows.mapInPandas(_joined, f"{kinds}, data binary")
+    """(keys, h, w, data): labels of each image in row-major order, one byte each; rows become bytes before an image gathers them."""
+    digits = lambda p: F.lpad(F.hex(p["label"].cast("long").bitwiseAND(255)), 2, "0")
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "label"))), digits), "")
+    lines = pixels.groupBy(*keys, "y").agg((F.max("x") + 1).alias("w"), F.unhex(line).alias("line"))
+    image = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda r: F.hex(r["line"])), "")
+    return lines.groupBy(*keys).agg((F.max("y") + 1).alias("h"), F.max("w").alias("w"), F.unhex(image).alias("data"))
 
 
 def _packed(frames):

@@ -59,15 +59,15 @@ def length_bits(train: DataFrame, rows: DataFrame, mode: str, width: int, beta:
     rows = rows.withColumn("k", clamp(F.col("w") - F.col("start_x")))
     rows = rows.withColumn("l", F.least(clamp(F.col("len")), F.col("k")))
     levels = {"g": [], "b": ["label"]} | ({"s": keys} if keys else {})
+    asked = rows
     for tag, by in levels.items():
-        counts = train.groupBy(*by, "len").agg(F.count("*").alias("c"))
-        # counts up to each length, also at the lengths that don't occur: one dense row for each key and length
-        totals = (counts.groupBy(*by) if by else counts.groupBy()).agg(F.sum("c").alias("t"))
-        lengths = totals.withColumn("len", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(width).cast("long"))))
-        dense = lengths.join(counts, [*by, "len"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        dense = dense.withColumn("upto", F.sum("c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("len")))
-        rows = rows.join(dense.select(*by, F.col("len").alias("l"), F.col("c").alias(f"{tag}_c"), F.col("t").alias(f"{tag}_t")), [*by, "l"], "left")
-        rows = rows.join(dense.select(*by, F.col("len").alias("k"), F.col("upto").alias(f"{tag}_u")), [*by, "k"], "left")
+        # running counts at the lengths that occur or are asked for, not at every length
+        met = train.select(*by, "len", F.lit(1).alias("n")).unionByName(asked.select(*by, F.col("k").alias("len"), F.lit(0).alias("n")))
+        counts = met.groupBy(*by, "len").agg(F.sum("n").alias("c"))
+        key = Window.partitionBy(*(by or [F.lit(0)]))
+        points = counts.withColumns({"upto": F.sum("c").over(key.orderBy("len")), "t": F.sum("c").over(key)})
+        rows = rows.join(points.select(*by, F.col("len").alias("l"), F.col("c").alias(f"{tag}_c")), [*by, "l"], "left")
+        rows = rows.join(points.select(*by, F.col("len").alias("k"), F.col("upto").alias(f"{tag}_u"), F.when(F.col("t") > 0, F.col("t")).alias(f"{tag}_t")), [*by, "k"], "left")
     mixes = []
     for part in (lambda tag: F.coalesce(f"{tag}_c", F.lit(0)) + beta, lambda tag: F.coalesce(f"{tag}_u", F.lit(0)) + beta * F.col("k")):
         of = lambda tag, part=part: part(tag) / (F.coalesce(f"{tag}_t", F.lit(0)) + beta * width)

@@ -1,9 +1,8 @@
 """Prediction by partial matching (method C, with exclusion). Which symbols are excluded depends on the path down the
-orders, so scoring runs in Python, one group at a time, over broadcast-free count rows that are joined as a file."""
+orders, so scoring runs in Python, one context at a time, over count rows that are joined to it."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
@@ -65,26 +64,36 @@ def count_rows(train: DataFrame, order: int, by: list[str], sort: list[str]) ->
 
 
 def score(train: DataFrame, rows: DataFrame, order: int, alphabet: int, by: list[str], sort: list[str], renorm: bool = True) -> DataFrame:
-    """rows with p and z. Each distinct (context, symbol, lo, hi) is scored once, with just the counts of its suffixes."""
+    """rows with p and z. Each context comes once, with the counts of its suffixes and all that is asked in it.
+
+    Counts without context, at most one for each symbol of the alphabet, go to all workers instead of along with every context."""
     asked = histories(rows, order, by, sort).select(*rows.columns, "ctx")
-    distinct = asked.select("ctx", "sym", "lo", "hi").distinct()
-    suffix = F.transform(F.sequence(F.lit(0), F.size("ctx")), lambda k: F.slice("ctx", F.size("ctx") - k + 1, k))
-    counted = count_rows(train, order, by, sort).groupBy("ctx").agg(F.collect_list(F.struct("sym", "c")).alias("next")).withColumnRenamed("ctx", "part")
-    held = distinct.select("ctx").distinct().select("ctx", F.explode(suffix).alias("part")).join(counted, "part").groupBy("ctx").agg(F.collect_list(F.struct("part", "next")).alias("known"))
+    wanted = asked.groupBy("ctx").agg(F.collect_set(F.struct("sym", "lo", "hi")).alias("asks"))
+    size = F.size("ctx")
+    suffix = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda k: F.slice("ctx", size - k + 1, k)))
+    counted = count_rows(train, order, by, sort)
+    short = {int(r.sym): int(r.c) for r in counted.filter(F.size("ctx") == 0).collect()}
+    longer = counted.filter(F.size("ctx") > 0).groupBy("ctx").agg(F.collect_list(F.struct("sym", "c")).alias("next")).withColumnRenamed("ctx", "part")
+    held = wanted.select("ctx", F.explode(suffix).alias("part")).join(longer, "part").groupBy("ctx").agg(F.collect_list(F.struct("part", "next")).alias("known"))
 
     def scored(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                counts: Counts = defaultdict(dict)
+                counts: Counts = {(): short}
                 for x in r.known if r.known is not None else ():
                     counts[tuple(int(s) for s in x["part"])] = {int(y["sym"]): int(y["c"]) for y in x["next"]}
                 history = tuple(int(s) for s in r.ctx)
-                p = probability(counts, history, order, int(r.sym), alphabet)
-                z = mass_between(counts, history, order, int(r.lo), int(r.hi), alphabet) if renorm else 1.0
-                out.append((r.key, p, z))
-            yield pd.DataFrame(out, columns=["key", "p", "z"])
-
-    key = F.concat_ws("/", F.array_join(F.transform("ctx", lambda x: x.cast("string")), ","), F.col("sym").cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string"))
-    found = distinct.join(held, "ctx", "left").withColumn("key", key).mapInPandas(scored, "key string, p double, z double")
-    return asked.withColumn("key", key).join(found, "key").drop("key", "ctx")
+                chances: dict[int, float] = {}
+                masses: dict[tuple[int, int], float] = {}
+                for x in r.asks:
+                    symbol, between = int(x["sym"]), (int(x["lo"]), int(x["hi"]))
+                    if symbol not in chances:
+                        chances[symbol] = probability(counts, history, order, symbol, alphabet)
+                    if between not in masses:
+                        masses[between] = mass_between(counts, history, order, *between, alphabet) if renorm else 1.0
+                    out.append((list(history), symbol, *between, chances[symbol], masses[between]))
+            yield pd.DataFrame(out, columns=["ctx", "sym", "lo", "hi", "p", "z"])
+
+    found = wanted.join(held, "ctx", "left").mapInPandas(scored, "ctx array<long>, sym long, lo long, hi long, p double, z double")
+    return asked.join(found, ["ctx", "sym", "lo", "hi"]).select(*rows.columns, "p", "z")

@@ -48,3 +48,21 @@ def test_ppm_probabilities_sum_to_one_and_agree_with_mass():
         p = [ppm.probability(counts, history, 2, s, 6) for s in range(6)]
         assert abs(sum(p) - 1) < 1e-9
         assert abs(ppm.mass_between(counts, history, 2, 1, 4, 6) - sum(p[1:5])) < 1e-9
+
+
+def test_ppm_scores_of_a_table_are_those_of_its_counts(spark):
+    words = {0: [1, 2, 1, 2, 3, 1], 1: [2, 2, 1, 3], 2: [3, 1, 2, 0, 1, 2, 9]}
+    rows = spark.createDataFrame([(i, t, s, 0, 4) for i, w in words.items() for t, s in enumerate(w)], "image long, t long, sym long, lo long, hi long")
+    train = rows.filter("image < 2")
+    counts: dict = {}
+    for i in (0, 1):
+        for t, s in enumerate(words[i]):
+            for k in range(min(2, t) + 1):
+                at = counts.setdefault(tuple(words[i][t - k : t]), {})
+                at[s] = at.get(s, 0) + 1
+    got = {(r.image, r.t): (r.p, r.z) for r in ppm.score(train, rows, 2, 6, ["image"], ["t"]).collect()}
+    assert len(got) == 17
+    for (i, t), (p, z) in got.items():
+        history = tuple(words[i][max(0, t - 2) : t])
+        assert abs(p - ppm.probability(counts, history, 2, words[i][t], 6)) < 1e-12
+        assert abs(z - ppm.mass_between(counts, history, 2, 0, 4, 6)) < 1e-12
