@@ -478,7 +478,9 @@ def metrics_parse_tau_k(spark, d):
 @query
 def name_parse(spark, d):
     key = F.col("p_partkey")
-    name = F.concat(F.lit("c"), (key % 9).cast("string"), F.lit("_"), F.lpad((key % 4).cast("string"), 6, "0"), F.lit("_"), F.lpad(key.cast("string"), 6, "0"), F.lit("_gtFine_labelIds.png"))
+    digits = key.cast("string")
+    frame = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), "0")  # a plain lpad cuts longer numbers
+    name = F.concat(F.lit("c"), (key % 9).cast("string"), F.lit("_"), F.lpad((key % 4).cast("string"), 6, "0"), F.lit("_"), frame, F.lit("_gtFine_labelIds.png"))
     tile = F.concat(F.lit("m"), key.cast("string"), F.lit("__gy"), (key % 13).cast("string"), F.lit("__gx"), (key % 17).cast("string"), F.lit(".png"))
     years = F.concat((1990 + key % 40).cast("string"), F.lit("_"), (2000 + key % 30).cast("string"), F.lit("_x.PNG"))
     rows = views.read(spark, d, "part").select("p_partkey", name.alias("name"), tile.alias("tile"), years.alias("years"))

@@ -54,3 +54,13 @@ def test_further_query_matches_sql(spark, name):
     rows = extended.QUERIES[name](spark, DATA)
     assert sorted(rows.columns) == sorted(columns)
     assert sorted(map(repr, map(tuple, rows.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_frames_of_more_than_six_digits_are_whole(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT unnest([0, 7, 999999, 1000000, 1234567, 2147483647]) AS p_partkey")
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet'")
+    want = con.execute(ORACLE_SQL["name_parse"])
+    columns = [c[0] for c in want.description]
+    got = QUERIES["name_parse"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
