@@ -83,11 +83,11 @@ def with_first_row(rows: DataFrame, metrics: DataFrame, order: str) -> DataFrame
     return rows.crossJoin(F.broadcast(metrics.orderBy(order).limit(1).select(*added)))  # one row
 
 
-def heat_grid(tile_rows: DataFrame, meta: DataFrame, keys: list[str], place: str) -> DataFrame:
+def heat_grid(tile_rows: DataFrame, meta: DataFrame, keys: list[str], place: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """(keys, gy, gx, heat) of whole grids: a tile that is missing is 0, of repeated ones the last counts, those outside the grid are dropped.
 
-    meta: (keys, gh, gw). Tiles of a key without meta are an error."""
-    last = Window.partitionBy(*keys, "gy", "gx").orderBy(F.desc(place))
+    Of several at the last place the first by ``ties`` counts. meta: (keys, gh, gw). Tiles of a key without meta are an error."""
+    last = Window.partitionBy(*keys, "gy", "gx").orderBy(F.desc(place), *ties)
     once = tile_rows.withColumn("__r", F.row_number().over(last)).filter("__r = 1").drop("__r")
     stray = once.join(meta, keys, "left_anti").agg(F.count("*").alias("__stray"))
     known = once.join(meta, keys).select(*keys, "gy", "gx", "gh", "gw", F.col("heat").alias("__heat"))

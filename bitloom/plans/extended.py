@@ -216,9 +216,10 @@ m AS (SELECT i AS pair, 3 + i % 3 AS gh, 2 + i % 4 AS gw FROM range(20) r(i)), o
 SELECT m.pair, y.gy, x.gx, coalesce(o.heat, 0) AS heat FROM m, range(6) y(gy), range(6) x(gx) LEFT JOIN o ON o.pair = m.pair AND o.gy = y.gy AND o.gx = x.gx WHERE y.gy < gh AND x.gx < gw""")
 def tile_heat_grid(spark, d):
     items = views.read(spark, d, "lineitem")
-    rows = items.select((F.col("l_orderkey") % 20).alias("pair"), (F.col("l_partkey") % 6).alias("gy"), (F.col("l_suppkey") % 5).alias("gx"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_quantity").cast("double").alias("heat"))
+    rows = items.select((F.col("l_orderkey") % 20).alias("pair"), (F.col("l_partkey") % 6).alias("gy"), (F.col("l_suppkey") % 5).alias("gx"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_quantity").cast("double").alias("heat"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = rows.filter("heat is not null and place is not null")  # arg_max passes over both
     meta = spark.range(20).select(F.col("id").alias("pair"), (3 + F.col("id") % 3).alias("gh"), (2 + F.col("id") % 4).alias("gw"))
-    return manifests.heat_grid(rows, meta, ["pair"], "place")
+    return manifests.heat_grid(rows, meta, ["pair"], "place", ("file", "row"))  # places repeat: the first row in the table's order
 
 
 @query("SELECT n_nationkey AS id, s AS stream, c AS codec, l AS level FROM nation, (SELECT unnest(['raw', 'rle']) AS s), (SELECT unnest(['zlib', 'zstd']) AS c), (SELECT unnest([1, 3, 6, 9]) AS l)")

@@ -64,3 +64,23 @@ def test_frames_of_more_than_six_digits_are_whole(spark, tmp_path):
     columns = [c[0] for c in want.description]
     got = QUERIES["name_parse"](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_heat_of_a_repeated_place_is_the_first_rows(spark, tmp_path, nulls):
+    from bitloom.plans import extended
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    os.mkdir(tmp_path / "lineitem.parquet")
+    # places repeat within files and between them; the largest file is last, and Spark reads it first
+    for n, (file, size) in enumerate({"a": 6000, "b": 9000, "c": 60000}.items()):
+        heat = f"CASE WHEN {nulls} AND i % 1000 = 21 THEN NULL ELSE {n} * 100000 + i END"
+        passed = "UNION ALL SELECT 100, 0, 0, 1, NULL UNION ALL SELECT NULL, 1, 1, 1, 5.0" if nulls else ""
+        con.execute(f"COPY (SELECT i % 40 AS l_orderkey, i // 40 % 6 AS l_partkey, i // 240 % 5 AS l_suppkey, 1 AS l_linenumber, CAST({heat} AS DOUBLE) AS l_quantity FROM range({size}) r(i) {passed}) TO '{tmp_path}/lineitem.parquet/{file}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(extended.ORACLE_SQL["tile_heat_grid"])
+    columns = [c[0] for c in want.description]
+    rows = sorted(map(tuple, extended.QUERIES["tile_heat_grid"](spark, str(tmp_path)).select(*columns).collect()))
+    assert rows == sorted(want.fetchall())
+    assert max(heat for *_, heat in rows) < 6000
